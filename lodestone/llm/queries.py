@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, exact_dedup, html_extract, packing, quality_rules, token_output, toxicity
+from lodestone.llm import byte_bpe, exact_dedup, html_extract, ngram_join, packing, quality_rules, token_output, toxicity
 from lodestone.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
 }
