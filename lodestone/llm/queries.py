@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, exact_dedup, html_extract, ngram_join, packing, quality_rules, substring_dedup, token_output, toxicity
+from lodestone.llm import byte_bpe, exact_dedup, html_extract, ngram_join, packing, quality_rules, substring_dedup, token_counts, token_output, toxicity
 from lodestone.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -18,6 +18,11 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_matrix(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    revised = token_counts.with_revision(table(spark, sf_dir, "documents"))
+    return token_counts.counts_after_edits(revised, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
