@@ -231,7 +231,7 @@ def javascript_nodes(source: str) -> list[tuple[str, str | None, int, int, str]]
     return [(kind, name, line(a), line(max(a, b - 1)), source[a:b]) for a, b, kind, name in sorted(set(found), key=lambda f: (f[0], -f[1], f[2], f[3] or ""))]
 
 
-_JS_IMPORT = re.compile(r"(?m)^\s*(?:import|export)\b[^;'\"]*?(?:from\s*)?(['\"])([^'\"\n]+)\1")
+_JS_IMPORT = re.compile(r"(?m)^\s*(?:import\s*|(?:import|export)\b[^;'\"=()]*?\bfrom\s*)(['\"])([^'\"\n]+)\1")
 
 
 def javascript_imports(source: str) -> list[str]:

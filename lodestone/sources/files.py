@@ -11,7 +11,7 @@ from lodestone.functions import text as X
 def scan(spark: SparkSession, root: str, older: bool = False) -> DataFrame:
     """Supported files below root that aren't ignored: path (relative), language, content, hash, last_modified (epoch ms).
 
-    A file that vanishes while it is read, or can't be, is left out; text that isn't UTF-8 is read with replacements."""
+    Empty files hold nothing to index and aren't listed. A file that vanishes while it is read, or can't be, is left out; text that isn't UTF-8 is read with replacements."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.{ts,tsx,js,jsx,py,TS,TSX,JS,JSX,PY}").load(root)
     base = root.rstrip("/").removeprefix("file://").rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), F.concat(F.lit("^/*"), F.regexp_replace(F.lit(base.lstrip("/")), r"([\\^$.|?*+()\[{])", r"\\$1"), F.lit("/")), "")
