@@ -72,6 +72,14 @@ def prefiltered(big: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return big.withColumn("_slot", slot(F.col(key))).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
 
 
+def parted(rows: DataFrame, by: Column, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose value of by certainly isn't in keys, the others): the first need no shuffle to pass a join with keys."""
+    slots = F.broadcast(keys.select(slot(F.col(key)).alias("_slot_of_keys")).distinct())  # FILTER_SLOTS integers at most
+    marked = rows.withColumn("_slot_of_row", slot(by))
+    hit = F.col("_slot_of_row") == F.col("_slot_of_keys")
+    return marked.join(slots, hit, "left_anti").drop("_slot_of_row"), marked.join(slots, hit, "left_semi").drop("_slot_of_row")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
