@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import text as X
 from lodestone.schema import checked_direction
@@ -33,24 +36,56 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
     return {"outgoing": forth, "incoming": back, "both": forth.unionByName(back)}[checked_direction(direction)].distinct()
 
 
-def bfs(edges: DataFrame, roots: DataFrame, direction: str = "both", depth: int | None = 2) -> DataFrame:
+#: A graph of this many edges at most is walked by one task.
+SMALL = 500_000
+
+
+def _walked(steps: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
+    """The traversal of a small graph in one task, over arrays of its distinct steps."""
+    rows = steps.select("at", "next").unionByName(roots.select(F.lit(None).cast(steps.schema["at"].dataType).alias("at"), F.col("node").alias("next")))
+
+    def run(batches):
+        found = [(np.asarray(b.column(0).to_pylist(), dtype=object), np.asarray(b.column(1).to_pylist(), dtype=object)) for b in batches]
+        if not found:
+            return
+        at, next_ = (np.concatenate(x) for x in zip(*found))
+        start = np.array([x is None for x in at], dtype=bool)
+        names, number = np.unique(np.concatenate([at[~start], next_]), return_inverse=True)
+        a, b, level = number[: (~start).sum()], number[(~start).sum() :][~start], np.unique(number[(~start).sum() :][start])
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        edge, distance, hop = np.searchsorted(a, np.arange(len(names) + 1)), np.full(len(names), -1), 0
+        distance[level] = 0
+        while len(level) and (depth is None or hop < depth):
+            hop += 1
+            reached = np.unique(np.concatenate([b[edge[n] : edge[n + 1]] for n in level]))
+            level = reached[distance[reached] < 0]
+            distance[level] = hop
+        seen = np.flatnonzero(distance >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(names[seen].tolist()), pa.array(distance[seen].astype(np.int32))], ["node", "distance"])
+
+    return rows.coalesce(1).mapInArrow(run, T.StructType([T.StructField("node", steps.schema["at"].dataType), T.StructField("distance", T.IntegerType())]))
+
+
+def bfs(edges: DataFrame, roots: DataFrame, direction: str = "both", depth: int | None = 2, small: int = SMALL) -> DataFrame:
     """(node, distance) of what the roots (one column) reach in depth hops, or at all if that is None.
 
-    Each hop joins the last level with the edges and drops what was seen. Levels are written to the shared folder, so the
-    plan doesn't grow; only whether a level is empty comes to the driver."""
-    scratch, steps = Scratch(edges.sparkSession, "bfs"), _steps(edges, direction)
-    if depth is None or depth > 2:
-        steps = scratch.keep(steps, "steps")
-    level = roots.toDF("node").distinct().withColumn("distance", F.lit(0))
+    A graph of at most small edges, which is counted up to there first, is walked by one task. In a larger one each hop
+    joins the last level with the edges and drops what was seen; levels are written to the shared folder, so the plan
+    doesn't grow, and only whether a level is empty comes to the driver."""
+    steps, roots = _steps(edges, direction), roots.toDF("node")
+    if edges.select("from_id").limit(small + 1).count() <= small:
+        return _walked(steps, roots.withColumn("node", F.col("node").cast(steps.schema["at"].dataType)), depth)
+    scratch = Scratch(edges.sparkSession, "bfs")
+    steps = scratch.keep(steps, "steps")
+    level = roots.distinct().withColumn("distance", F.lit(0))
     seen, hop = level, 0
     while depth is None or hop < depth:
         hop += 1
         reached = level.join(steps, F.col("node") == F.col("at")).select(F.col("next").alias("node")).distinct()
-        level = reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(hop))
-        if depth is None or depth > 2:
-            level = scratch.keep(level, f"level{hop}")
-            if level.isEmpty():
-                break
+        level = scratch.keep(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(hop)), f"level{hop}")
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     return seen
 
@@ -162,7 +197,3 @@ def file_graph(files: DataFrame, chunks: DataFrame, edges: DataFrame, cap: int =
     nodes = file_nodes(files, chunks, cap)
     pairs = within(file_edges(edges, chunks).withColumnsRenamed({"from_file": "from_id", "to_file": "to_id"}), nodes.withColumnRenamed("file_id", "node"))
     return nodes, pairs.withColumnsRenamed({"from_id": "from_file", "to_id": "to_file"})
-
-
-def ordered_window(*order: Column) -> Column:
-    return F.row_number().over(Window.orderBy(*order))

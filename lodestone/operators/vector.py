@@ -63,9 +63,9 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, key: str = "chun
         names, q = shared.value
         held = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in names]
         for batch in batches:
-            ids, m = np.array(batch.column(0)), np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            if not len(ids) or not len(names):
+            if not batch.num_rows or not len(names):
                 continue
+            ids, m = np.array(batch.column(0)), np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             norms = np.linalg.norm(m, axis=1)
             scores = q @ (m / np.where(norms == 0, 1, norms)[:, None]).T
             for i in range(len(names)):

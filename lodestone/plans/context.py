@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import coedit, graph, rank, vector
 from lodestone.schema import Options
+from lodestone.sources.scratch import Scratch
 
 OPTIONS = Options()
 
@@ -31,8 +32,8 @@ def anchor(candidates: DataFrame, active_file: str) -> DataFrame:
 
 def ranked(candidates: DataFrame, query: list[float], edges: DataFrame | None = None, counts: DataFrame | None = None, active_file: str | None = None, modified: Column | None = None, options: Options = OPTIONS) -> DataFrame:
     """The best code candidates by meaning, with age, graph distance and co-edits where they are known, in their final
-    order. From the first cut on there are code_candidates rows, so what follows runs in one task."""
-    found = search(candidates, query, options.code_candidates)
+    order. The first cut reads the candidates once and is kept: code_candidates rows, which the rest works on."""
+    found = Scratch(candidates.sparkSession, "ranked").keep(search(candidates, query, options.code_candidates), "top")
     if modified is not None:
         path = Window.partitionBy("path")
         found = found.withColumn("_modified", F.max_by(modified, F.when(modified.isNotNull() & (modified != 0), F.col("rank"))).over(path))

@@ -93,7 +93,7 @@ class Engine:
         chunks = self.store.read("chunks").withColumnRenamed("id", "chunk_id")
         old = self.store.read("embeddings")
         new = embed.embedded(embed.without_vector(chunks, old), self.provider).withColumn("created_at", self._now())
-        self.store.write("embeddings", old.unionByName(new.select(old.columns)))
+        self.store.append("embeddings", new.select(old.columns))
 
     def _record(self, paths: list[str], pid: str) -> None:
         if len(set(paths)) < 2:
@@ -140,9 +140,9 @@ class Engine:
         with self.store.transaction():
             if self.store.read("projects").filter(F.col("id") == project_id(root)).isEmpty():
                 self._project(root, False)
-            self.store.upsert("memories", row, ["id"])
+            self.store.append("memories", row)
             vector = embed.embedded(row, self.provider, key="id").withColumnRenamed("id", "memory_id").withColumn("created_at", self._now())
-            self.store.upsert("memory_embeddings", vector, ["memory_id"])
+            self.store.append("memory_embeddings", vector)
         return {"id": mid, "success": True}
 
     def list_memories(self, root: str) -> DataFrame:

@@ -39,7 +39,7 @@ def cascade(files_gone: DataFrame, chunks: DataFrame, embeddings: DataFrame, edg
 class Store:
     """The engine's tables below one folder, in any file system that Spark writes to.
 
-    Each version of a table is a folder of its own. A transaction writes new versions and then replaces one small pointer
+    A version of a table is a list of folders: replacing it starts a new list, appending adds one to it. A transaction writes new versions and then replaces one small pointer
     file by a rename, so readers see all of its tables or none; a failed one leaves folders that nothing points to."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -48,9 +48,9 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
-        self._pending: dict[str, str] | None = None
+        self._pending: dict[str, list[str]] | None = None
 
-    def _versions(self) -> dict[str, str]:
+    def _versions(self) -> dict[str, list[str]]:
         pointer = self._path(f"{self.root}/_current")
         if not self._fs.exists(pointer):
             return {}
@@ -60,7 +60,7 @@ class Store:
         finally:
             stream.close()
 
-    def _point(self, versions: dict[str, str]) -> None:
+    def _point(self, versions: dict[str, list[str]]) -> None:
         draft = self._path(f"{self.root}/_draft-{uuid.uuid4().hex}")
         stream = self._fs.create(draft, True)
         stream.write(bytearray(json.dumps(versions).encode()))
@@ -76,17 +76,24 @@ class Store:
         versions = self._versions() | (self._pending or {})
         if name not in versions:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{versions[name]}")
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{folder}" for folder in versions[name]))
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Replaces a table. rows may come from the table's own current version."""
+        self._put(name, rows, [])
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows, which no stored row has the key of; what is stored isn't read or written."""
+        self._put(name, rows, (self._versions() | (self._pending or {})).get(name, []))
+
+    def _put(self, name: str, rows: DataFrame, others: list[str]) -> None:
         folder = f"{name}-{uuid.uuid4().hex[:12]}"
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]]
         rows.select(columns).write.parquet(f"{self.root}/{folder}")
         if self._pending is None:
-            self._point(self._versions() | {name: folder})
+            self._point(self._versions() | {name: [*others, folder]})
         else:
-            self._pending[name] = folder
+            self._pending[name] = [*others, folder]
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         self.write(name, upserted(self.read(name), rows, keys))
@@ -105,7 +112,7 @@ class Store:
 
     def vacuum(self) -> int:
         """Deletes folders of versions that aren't current; their number."""
-        current, gone = set(self._versions().values()), 0
+        current, gone = {folder for folders in self._versions().values() for folder in folders}, 0
         for status in self._fs.listStatus(self._path(self.root)):
             name = status.getPath().getName()
             if not name.startswith("_current") and name not in current:

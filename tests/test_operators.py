@@ -79,7 +79,9 @@ def nodes(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
-def test_traversals(spark):
+@pytest.mark.parametrize("small", [0, graph.SMALL])
+def test_traversals(spark, monkeypatch, small):
+    monkeypatch.setattr(graph.bfs, "__defaults__", ("both", 2, small))
     chain = edges(spark, [("a", "b"), ("b", "c"), ("x", "y")])
     assert {tuple(r) for r in graph.bfs(chain, nodes(spark, "b"), "both", 1).collect()} == {("b", 0), ("a", 1), ("c", 1)}
     assert {tuple(r) for r in graph.bfs(chain, nodes(spark, "a"), "outgoing", None).collect()} == {("a", 0), ("b", 1), ("c", 2)}
@@ -92,6 +94,17 @@ def test_traversals(spark):
         graph.bfs(chain, nodes(spark, "a"), "up")
 
 
+def test_both_ways_to_walk_agree(spark):
+    import random
+
+    rng = random.Random(3)
+    many = edges(spark, [(str(rng.randint(0, 60)), str(rng.randint(0, 60))) for _ in range(90)])
+    for way in schema.DIRECTIONS:
+        for depth in (1, 3, None):
+            a, b = ({tuple(r) for r in graph.bfs(many, nodes(spark, "1", "2"), way, depth, small).collect()} for small in (0, 1000))
+            assert a == b
+
+
 def test_subgraphs(spark):
     pair = edges(spark, [("a", "b"), ("b", "a")])
     assert [(r.from_id, r.to_id) for r in graph.subgraph(pair, nodes(spark, "a"), 1, "both").collect()] == [("a", "b")]
