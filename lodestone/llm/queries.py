@@ -70,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Lower-cases A-Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": f"""
@@ -77,4 +78,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY x)""",
+    "op7_ngram_join": f"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, ws[i:i + 4] AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        r AS (SELECT doc_id, doc_id AS other FROM t UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+        SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1) m USING (doc_id)""",
+    "op9_quality_rules": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws,
+                          list_filter(string_split(coalesce(text, ''), chr(10)), lambda y: regexp_matches(y, '{_WORD}')) AS ls FROM documents),
+        v AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 7]) AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM t WHERE len(ws) >= 8)),
+        r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM v, (SELECT unnest(range(8)) AS j) WHERE c > 1 GROUP BY 1),
+        m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda y: length(y))), 0)::BIGINT AS word_chars,
+                     (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                     coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM t LEFT JOIN r USING (doc_id)),
+        b AS (SELECT *, ({" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality_rules.RULES.values()))})::BIGINT AS fail_bits FROM m)
+        SELECT *, fail_bits & {quality_rules.BASE.mask} <> 0 AS base_failed, fail_bits & {quality_rules.BASE.mask | quality_rules.DEFAULT.mask} = 0 AS kept,
+               '{quality_rules.DEFAULT.name}/{quality_rules.DEFAULT.version}' AS policy FROM b""",
 }

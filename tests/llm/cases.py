@@ -1,0 +1,30 @@
+"""Small tables for the corpus operators."""
+
+from __future__ import annotations
+
+import random
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use inside.
+CLASHES = "node string, n string, digest string, run string, bucket string, _slot string, label string, sha string, keep_id string, kind string, toxic string, host string, path string, edits string"
+
+
+def words(rng: random.Random, n: int) -> str:
+    return " ".join("".join(rng.choice(("ba", "ti", "ron", "el", "su", "mak", "o")) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def edge_texts() -> list[tuple[int | None, str | None]]:
+    """Nulls, empties, blanks, ties, repeated rows, other scripts and one very long text."""
+    rng = random.Random(5)
+    plain = words(rng, 80)
+    return [(1, None), (2, ""), (3, " \n\t "), (4, plain), (5, plain.upper()), (6, plain), (6, plain), (None, plain), (None, None), (7, "é" * 10 + " İΣς 漢字 👍🏽 <|endoftext|> it's"), (8, "x" * 30_000), (9, words(rng, 30_000)), (10, "one two three"), (11, "a " * 300)]
+
+
+def documents(spark, rows, clashes: bool = False):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    if clashes:
+        from pyspark.sql import functions as F
+
+        for column in CLASHES.split(", "):
+            docs = docs.withColumn(column.split()[0], F.lit("clash"))
+    return docs

@@ -1,0 +1,154 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from tokenizers import Tokenizer
+
+from lodestone.llm import byte_bpe, packing, queries, token_counts, token_output, word_bpe
+from tests.llm.cases import documents, edge_texts, words
+
+WORD, BYTE = P.path(queries.WORD_BPE), P.path(queries.BYTE_BPE)
+
+
+def library_ids(texts):
+    t = Tokenizer.from_file(WORD)
+    t.encode_special_tokens = True
+    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_word_bpe_is_the_library():
+    texts = [t for _, t in edge_texts()] + ["İstanbul'S ΑΣ fi", "it's 'tis we'll", "áb x", "tab\x1cx\x85y\xa0z", "½¾ ²3 ABC,,..!!d''s", "ÿÀ×÷ µª"]
+    assert [x.tolist() for x in word_bpe.load(WORD).encode([t or "" for t in texts])] == library_ids(texts)
+
+
+@pytest.mark.parametrize("capacity", [64, 2048])
+def test_packing_keeps_every_id_once(spark, capacity):
+    rows = edge_texts()
+    got = packing.pack_documents(documents(spark, rows, True), WORD, capacity, block_tokens=5000, emit_ids=True).collect()
+    named = {i: ids + [1] for (i, _), ids in zip(rows, library_ids([t for _, t in rows])) if i is not None and i != 6}
+    for doc, ids in named.items():
+        pieces = sorted((r for r in got if r.doc_id == doc), key=lambda r: r.start)
+        assert b"".join(bytes(r.ids) for r in pieces) == np.array(ids, "<u4").tobytes()
+        assert all(r.doc_tokens == len(ids) and zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in pieces)
+    assert sum(r.length for r in got) == sum(len(x) + 1 for x in library_ids([t for _, t in rows]))
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    for pieces in by.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == pieces[0].sequence_tokens <= capacity and (at == capacity or at & (at - 1) == 0)
+
+
+def test_packing_balances_cost():
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 1500) for _ in range(800)]
+    pieces, size, cost = packing.balance(lengths)
+    full = cost[size == 2048]
+    in_order = np.zeros(len(size))
+    room, at = list(packing.capacities(sum(lengths), 2048)), 0
+    for n in lengths:  # documents one after another
+        while n:
+            take = min(n, room[at])
+            in_order[at] += take + take * take / 2048
+            room[at] -= take
+            n -= take
+            at += not room[at]
+    assert full.std() < 0.5 * in_order[size == 2048].std()
+    assert packing.balance([]) [0] == []
+
+
+def test_packed_matrix_round_trip(spark):
+    rows = edge_texts()
+    got = token_output.packed_matrix(documents(spark, rows, True), WORD, 256, block_tokens=3000).collect()
+    found: dict = {}
+    for r in got:
+        ids, places = np.frombuffer(r.input_ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
+        assert len(ids) == len(places) == 256 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and not ids[r.n_tokens :].any()
+        for doc, start, a, b in zip(r.doc_ids, r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            found.setdefault(doc, []).append((start, ids[a:b].tolist()))
+            assert places[a:b].tolist() == list(range(b - a))
+    for (doc, _), ids in zip(rows, library_ids([t for _, t in rows])):
+        if doc is not None and doc != 6:
+            assert [x for _, part in sorted(found[doc]) for x in part] == ids + [1]
+    assert len({r.sequence_id for r in got}) == len(got)
+
+
+def test_best_fit_is_best_fit_decreasing():
+    rng = random.Random(2)
+    for capacity in (10, 64, 100):
+        lengths = [rng.randint(1, 2 * capacity) for _ in range(200)]
+        pieces = sorted((-min(capacity, n - s), d, s) for d, n in enumerate(lengths) for s in range(0, n, capacity))
+        rooms = []
+        for n, _, _ in pieces:
+            fit = [r for r in rooms if r >= -n]
+            if fit:
+                rooms.remove(min(fit))
+                rooms.append(min(fit) + n)
+            else:
+                rooms.append(capacity + n)
+        out = token_output.best_fit(lengths, capacity)
+        assert sorted(capacity - sum(p[2] for p in s) for s in out) == sorted(rooms)
+
+
+def test_byte_bpe_is_tiktoken(spark):
+    rows = edge_texts()
+    bpe = byte_bpe.load(BYTE, P.PATTERN)
+    got = byte_bpe.encode_documents(documents(spark, rows, True), BYTE, P.PATTERN, emit_ids=True).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids) for r in got) == sorted((i or 0, len(e), e) for i, t in rows for e in [bpe.encoding.encode_ordinary(t or "")])
+    assert all(r.round_trip for r in got)
+
+
+def test_segments_are_safe():
+    rng = random.Random(3)
+    bpe = byte_bpe.load(BYTE, P.PATTERN)
+    for _ in range(60):
+        text = "".join(rng.choice((" ", "  ", "\n", "a", "é", "7", "'s", ".", "漢", " the", "　")) for _ in range(400))
+        for size in (1, 7, 50):
+            parts = list(byte_bpe.segments(text, size))
+            assert "".join(parts) == text
+            assert sum((bpe.encoding.encode_ordinary(p) for p in parts), []) == bpe.encoding.encode_ordinary(text)
+
+
+def test_edits_count_as_a_full_encoding():
+    rng = random.Random(4)
+    bpe = byte_bpe.load(BYTE, P.PATTERN)
+    for _ in range(25):
+        text = words(rng, rng.choice((0, 1, 30, 400)))
+        counted = token_counts.EditableCount(text, bpe, segment=40)
+        for _ in range(25):
+            at, gone = rng.randint(0, len(text) + 3), rng.choice((0, 0, 1, 5, 90))
+            new = rng.choice(("", " ", "x", " the end", "\n\n", "12", words(rng, 20)))
+            counted.edit(at, gone, new)
+            at = min(at, len(text))
+            text = text[:at] + new + text[at + gone :]
+            assert counted.text() == text and counted.chars == len(text)
+            assert counted.tokens == len(bpe.encoding.encode_ordinary(text))
+
+
+def test_an_edit_encodes_little():
+    bpe = byte_bpe.load(BYTE, P.PATTERN)
+    counted = token_counts.EditableCount(words(random.Random(6), 20_000), bpe)
+    counted.edit(50_000, 3, "abc")
+    assert 0 < counted.reencoded < 3000
+
+
+def test_counts_after_edits(spark):
+    docs = documents(spark, edge_texts(), True)
+    bpe = byte_bpe.load(BYTE, P.PATTERN)
+    got = token_counts.counts_after_edits(token_counts.with_revision(docs), BYTE, P.PATTERN).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens_before) for r in got) == sorted((i or 0, len(bpe.encoding.encode_ordinary(t or ""))) for i, t in edge_texts())
+    edits = spark.createDataFrame([(4, 2, 0, 3, "z"), (4, 1, 0, 0, "ab "), (10, 1, None, None, None)], "doc_id long, seq int, position long, n_deleted long, inserted string")
+    after = {r.doc_id: r for r in token_counts.counts_after_edits(token_counts.with_edits(docs, edits), BYTE, P.PATTERN).collect()}
+    text = dict(edge_texts())[4]
+    assert after[4].n_tokens == len(bpe.encoding.encode_ordinary("z" + text)) and after[10].n_edits == 1
+
+
+def test_empty_tables(spark):
+    none = documents(spark, [], True)
+    assert packing.pack_documents(none, WORD).count() == token_output.packed_matrix(none, WORD).count() == byte_bpe.encode_documents(none, BYTE, P.PATTERN).count() == 0
+    assert token_counts.counts_after_edits(token_counts.with_revision(none), BYTE, P.PATTERN).count() == 0
