@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,11 +87,18 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def release() -> None:
+    """Gives the memory that a task's arrays have freed back to the system, as workers live on with it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class _Words(dict):
     """64-bit hashes of words as 8 bytes, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
         return value
@@ -125,9 +134,3 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     for i in range(width_here):
         total += hashes[i : i + n] * _MULTIPLIERS[i]
     return mixed(total)
-
-
-def each_text(batches: Iterator) -> Iterator[tuple]:
-    """(doc_id or None, text) of Arrow batches."""
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
