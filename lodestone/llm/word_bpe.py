@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 
-_BOUND = 1_000_000
+_BOUND = 400_000
 #: The vocabulary's split pattern over lower-case Latin-1: its letters, its digits, and all else but blanks.
 _LATIN = re.compile("[a-zªµºß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _loaded: dict[str, WordBPE] = {}

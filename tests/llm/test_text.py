@@ -2,8 +2,6 @@ import random
 import zlib
 from collections import Counter
 
-import pytest
-
 from lodestone.llm import html_extract, quality_rules, toxicity
 from tests.llm.cases import documents, edge_texts, words
 
@@ -68,7 +66,12 @@ def test_main_text(spark):
     from pyspark.sql import functions as F
 
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("x"), "path": F.lit("y"), "text": F.lit("z")})
-    got = html_extract.extract(pages).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # so few pages would lie in partitions of their own
+    try:
+        got = html_extract.extract(pages).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert html_extract.extract(pages).count() == len(rows)
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     texts = {r.page_id: r.text for r in got}
     assert texts[1] == texts[2] == "Head & line\n\nFirst bold words next\n\nSecond one two\n\nown"
