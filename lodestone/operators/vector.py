@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schema
 from lodestone.functions import vector as V
+from lodestone.sources.scratch import Scratch
 
 
 def of_type(candidates: DataFrame, chunk_type: str | None) -> DataFrame:
@@ -54,8 +58,28 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, key: str = "chun
     rows = queries.select("query_id", "vector").limit(max_queries + 1).toArrow()
     if len(rows) > max_queries:
         raise ValueError(f"more than {max_queries} queries; split them")
-    names = rows.column("query_id").to_pylist()
-    q = np.array(rows.column("vector").to_pylist(), dtype=np.float64).reshape(len(names), -1)
+    return _nearest(rows.column("query_id").to_pylist(), rows.column("vector").to_pylist(), candidates, k, key, column)
+
+
+def knn_join_blocks(queries: DataFrame, candidates: DataFrame, k: int, key: str = "chunk_id", column: str = "embedding", block: int = 10_000) -> DataFrame:
+    """knn_join for any number of queries with distinct ids: they pass the driver in blocks, and where there are several, the
+    result of each is written to the shared folder, so that one block at a time is held and broadcast."""
+    scratch, parts = Scratch(candidates.sparkSession, "knn"), []
+    rows = queries.select("query_id", "vector").toLocalIterator()
+    held = list(islice(rows, block))
+    while True:
+        following = list(islice(rows, block))
+        found = _nearest([r[0] for r in held], [r[1] for r in held], candidates, k, key, column)
+        if not following and not parts:
+            return found
+        parts.append(scratch.keep(found, f"block{len(parts)}"))
+        if not following:
+            return reduce(DataFrame.unionByName, parts)
+        held = following
+
+
+def _nearest(names: list, vectors: list, candidates: DataFrame, k: int, key: str, column: str) -> DataFrame:
+    q = np.array(vectors, dtype=np.float64).reshape(len(names), len(vectors[0]) if vectors else 0)
     size = np.linalg.norm(q, axis=1, keepdims=True)
     shared = candidates.sparkSession.sparkContext.broadcast((names, q / np.where(size == 0, 1, size)))
 

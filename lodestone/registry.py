@@ -78,7 +78,7 @@ def inner_product_topk_v1(t):
   from embeddings a, embeddings b where a.vec_id % 20 = 0) where rank <= 5""")
 def knn_join(t):
     rows = t.read("embeddings")
-    found = vector.knn_join(rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), rows.withColumnRenamed("vec_id", "chunk_id"), 5)
+    found = vector.knn_join_blocks(rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), rows.withColumnRenamed("vec_id", "chunk_id"), 5)
     return found.select("query_id", "chunk_id", "rank", six("score"))
 
 

@@ -42,6 +42,16 @@ def test_topk(spark):
         vector.knn_join(rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), rows, 2, max_queries=2)
 
 
+def test_knn_join_in_blocks(spark):
+    rows = spark.range(25, numPartitions=3).select(F.col("id").alias("chunk_id"), F.array(F.col("id").cast("float"), F.lit(3.0).cast("float")).alias("embedding"))
+    queries = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    want = found(vector.knn_join(queries, rows, 3))
+    for block in (4, 25, 100):
+        assert found(vector.knn_join_blocks(queries, rows, 3, block=block)) == want
+    assert len(want) == 75 and vector.knn_join_blocks(queries.limit(0), rows, 3).count() == 0
+
+
 def test_limits_reach_every_task(spark):
     rows = spark.range(100, numPartitions=4).select(F.col("id").alias("chunk_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
     plan = vector.cosine_scores(rows, [1.0, 0.0]).orderBy(F.desc("score")).limit(5)._jdf.queryExecution().executedPlan().toString()
