@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import small_batches, texts
+from lodestone.llm.common import slices, texts
 
 #: A blank between two letters or digits: every match that holds it starts with it, so a text can be cut in front of it.
 _BOUNDARY = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])")
@@ -64,11 +64,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, emit_ids: bool =
 
     Null text counts as empty: no ids, digests of nothing. A null doc_id stays null; repeated rows give repeated rows; an
     empty table gives none. No special tokens: their strings are ordinary text."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text)

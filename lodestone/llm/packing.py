@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lodestone.llm import word_bpe
-from lodestone.llm.common import small_batches, texts
+from lodestone.llm.common import slices, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
 
@@ -60,7 +60,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     where they are read, without a shuffle: a task holds one block (or one longer document) at a time. Sequence ids are
     distinct over all tasks and the same when a task is run again. With emit_ids, a column ids holds each piece's ids as
     little-endian unsigned 32-bit numbers."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = word_bpe.load(path)
@@ -82,7 +81,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
             names = [c.split()[0] for c in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays(data + [pa.array(rows, pa.binary())] * emit_ids, names + ["ids"] * emit_ids)
 
-        for batch in batches:
+        for batch in slices(batches):
             for key, x in zip(batch.column(0).to_pylist(), vocabulary.encode(batch.column(1).to_pylist())):
                 keys.append(key)
                 ids.append(np.concatenate([x, end]))

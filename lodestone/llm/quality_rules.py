@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches, texts, window_hashes, word_hashes
+from lodestone.llm.common import slices, texts, window_hashes, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -84,10 +84,9 @@ def measure(text: str) -> tuple[int, ...]:
 
 def measurements(docs: DataFrame) -> DataFrame:
     """One row of measurements for each document; null text has no words. A text is read once, whole."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [measure(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(6))], [c.split()[0] for c in MEASURES.split(", ")])
 

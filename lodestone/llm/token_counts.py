@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import byte_bpe
-from lodestone.llm.common import small_batches, texts
+from lodestone.llm.common import slices, texts
 
 SEGMENT = 512
 #: A boundary depends on the character before it and the two after it.
@@ -120,11 +120,10 @@ def counts_after_edits(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     One row for each document: its tokens before and after, characters and segments after, and how many characters had to
     be encoded again. Null text counts as empty, null edits as none, nulls in an edit as 0 or nothing; positions past the
     end append. A null doc_id stays null, repeated rows stay repeated, an empty table gives no rows."""
-    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe.load(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 counted = EditableCount(text, bpe)

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lodestone.llm import word_bpe
-from lodestone.llm.common import small_batches, texts
+from lodestone.llm.common import slices, texts
 
 PACKED = "sequence_id long, doc_ids array<long>, doc_starts array<long>, n_tokens int, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
@@ -72,7 +72,6 @@ def packed_matrix(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     Null text counts as empty: such a document is its end id alone. Null doc_ids stay null, repeated rows are documents of
     their own, an empty table gives no rows, other columns play no part. No id is lost or repeated. Packing runs in blocks
     of block_tokens tokens where documents are read, without a shuffle; sequence ids don't change when a task runs again."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = word_bpe.load(path)
@@ -98,7 +97,7 @@ def packed_matrix(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in PACKED.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             for key, x in zip(batch.column(0).to_pylist(), vocabulary.encode(batch.column(1).to_pylist())):
                 keys.append(key)
                 ids.append(np.concatenate([x, end]))
