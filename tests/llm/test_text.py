@@ -1,6 +1,10 @@
 import random
+import re
 import zlib
 from collections import Counter
+from urllib.parse import urlsplit
+
+import pytest
 
 from lodestone.llm import html_extract, quality_rules, toxicity
 from tests.llm.cases import documents, edge_texts, words
@@ -66,11 +70,7 @@ def test_main_text(spark):
     from pyspark.sql import functions as F
 
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("x"), "path": F.lit("y"), "text": F.lit("z")})
-    spark.conf.set("spark.sql.shuffle.partitions", "1")  # so few pages would lie in partitions of their own
-    try:
-        got = html_extract.extract(pages).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = html_extract.extract(pages).collect()
     assert html_extract.extract(pages).count() == len(rows)
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     texts = {r.page_id: r.text for r in got}
@@ -82,8 +82,34 @@ def test_main_text(spark):
 
 
 def test_copies_keep_their_text():
-    lines = [("a", False), ("b", False)]
-    assert html_extract.main_text(lines, lines) == "a\n\nb"
+    assert html_extract.main_text(["a", "b"], [1, 2], [1, 2]) == "a\n\nb"
+
+
+def brute_extract(rows):
+    """The page before on the host by path and id, or else the one after; lines that stand in both, in the order of both."""
+    pages = sorted((urlsplit(u).hostname, urlsplit(u).path, i, html) for i, u, html in rows)
+    out = {}
+    for k, (host, _, i, html) in enumerate(pages):
+        lines = re.findall(r"<p>(.*?)</p>", html)
+        if "<article>" in html:
+            out[i] = "\n\n".join(re.findall(r"<p>(.*?)</p>", html.split("<article>")[1]))
+            continue
+        near = pages[k - 1] if k and pages[k - 1][0] == host else pages[k + 1] if k + 1 < len(pages) and pages[k + 1][0] == host else None
+        other = set(re.findall(r"<p>(.*?)</p>", near[3])) if near else set()
+        out[i] = "\n\n".join([x for x in lines if x not in other] or lines)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 9])
+def test_extract_matches_brute_force(spark, partitions):
+    """Lines of a page are distinct and shared ones in one order, so that their longest common subsequence is all of them."""
+    rng, rows = random.Random(8), []
+    for i in range(120):
+        lines = [f"menu {k}" for k in range(6) if rng.random() < 0.8] + [f"own {i} {k}" for k in range(rng.randint(0, 3))] + [f"foot {k}" for k in range(3) if rng.random() < 0.8]
+        html = "".join(f"<p>{x}</p>" for x in lines)
+        rows.append((i, f"http://h{rng.choice((0, 0, 0, 1, 2, i))}.org/p{rng.randint(0, 60):02}", html if rng.random() < 0.6 else html + f"<article><p>text {i}</p></article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == brute_extract(rows)
 
 
 def test_shared_lines_are_a_longest_common_subsequence():
