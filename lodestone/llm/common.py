@@ -136,3 +136,49 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     for i in range(width_here):
         total += hashes[i : i + n] * _MULTIPLIERS[i]
     return mixed(total)
+
+
+#: Counters that travel together.
+CHUNK = 1 << 12
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A chunk of counters, as narrow as its largest, with their places where few aren't 0."""
+    wide = next(w for w in (1, 2, 4, 8) if counts.max() < 1 << 8 * w)
+    at = np.flatnonzero(counts)
+    if len(at) * (2 + wide) < CHUNK * wide:
+        return bytes([16 + wide]) + at.astype("<u2").tobytes() + counts[at].astype(f"<u{wide}").tobytes()
+    return bytes([wide]) + counts.astype(f"<u{wide}").tobytes()
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
+    wide = blob[0] & 15
+    if blob[0] < 16:
+        return slice(None), np.frombuffer(blob, f"<u{wide}", offset=1)
+    n = (len(blob) - 1) // (2 + wide)
+    return np.frombuffer(blob, "<u2", n, 1), np.frombuffer(blob, f"<u{wide}", n, 1 + 2 * n)
+
+
+def packed_chunks(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The numbers and packed counters of the chunks that aren't 0 everywhere; as many counters as whole chunks have."""
+    chunks = np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1)).tolist()
+    return chunks, [packed(counts[c * CHUNK : (c + 1) * CHUNK]) for c in chunks]
+
+
+def _chunk_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at, n = unpacked(blob)
+            total.setdefault(chunk, np.zeros(CHUNK, dtype=np.int64))[at] += n.astype(np.int64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+
+def summed(chunks: DataFrame, size: int) -> np.ndarray:
+    """The sums of packed counters (chunk, counts) over the cluster, as one array of the given size."""
+    out = np.zeros(size, dtype=np.int64)
+    sums = chunks.repartition(partitions(chunks.sparkSession), "chunk").mapInArrow(_chunk_sums, "chunk int, counts binary")
+    for r in sums.toLocalIterator():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i8")
+    return out

@@ -1,9 +1,11 @@
+import math
 import random
 import re
 import zlib
 from collections import Counter
 from urllib.parse import urlsplit
 
+import numpy as np
 import pytest
 
 from lodestone.llm import html_extract, quality_rules, toxicity
@@ -176,6 +178,56 @@ def test_toxicity_edges(spark):
 
 def test_probabilities_add_up():
     grams, counts = toxicity.count_grams(["aa ab abc ba", "ab abd"], [0, 1], 3)
-    model = toxicity.kneser_ney(grams, counts, 3)
+    model = toxicity.kneser_ney(grams, np.column_stack([counts, counts.sum(axis=1)]), 3)
     assert (model.grams[1:] > model.grams[:-1]).all() and len(model.ratio) == len(model.grams)
     assert model.of_words([b"abd"])[0] > model.of_words([b"abc"])[0]
+
+
+def brute_kneser_ney(texts, order):
+    """Plain dictionaries: the logarithm of toxic over ordinary probability of each gram, with a shared model below both."""
+    raw = [Counter(), Counter(), Counter()]
+    for label, text in texts:
+        for w in text.encode().split():
+            w = b" " + w + b" "
+            for i in range(1, len(w)):
+                for c in {label, 2} if label is not None else {2}:
+                    raw[c][w[max(0, i - order + 1) : i + 1]] += 1
+    raw[2] = Counter({g: n for g, n in raw[2].items() if g in raw[0] or g in raw[1]})
+    levels = {}
+    for n in range(order, 0, -1):
+        levels[n] = [Counter({g: k for g, k in raw[c].items() if len(g) == n}) for c in range(3)]
+        for c in range(3):
+            for g, k in levels.get(n + 1, [{}] * 3)[c].items():
+                levels[n][c][g[1:]] += k > 0
+
+    def p(c, g):
+        if not g:
+            return 1 / 257
+        own = {x: k for x, k in levels[len(g)][c].items() if x[:-1] == g[:-1] and k > 0}
+        total = sum(own.values())
+        if not total:  # a context that the class doesn't know
+            return p(c, g[1:])
+        return max(own.get(g, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(own) / total * p(2, g[1:])
+
+    return {g: math.log(p(1, g) / p(0, g)) for n in levels for g in set(levels[n][0]) | set(levels[n][1])}
+
+
+def test_kneser_ney_matches_plain_counts(spark):
+    rng = random.Random(9)
+    texts = [(rng.choice((0, 0, 1)), " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 8)))) for _ in range(30)]
+    more = [(None, "abc cab abc"), (None, "zz ab"), (None, "")]
+    keys, own = toxicity.count_grams([t for _, t in texts], [label for label, _ in texts], 4)
+    everywhere = toxicity.corpus_counts(documents(spark, [(i, t) for i, (_, t) in enumerate(texts + more)]), keys, 4)
+    model = toxicity.kneser_ney(keys, np.column_stack([own, everywhere]), 4)
+    name = lambda key: (int(key) & (1 << 40) - 1).to_bytes(8, "big")[-(int(key) >> 40) :]
+    got = dict(zip(map(name, model.grams), model.ratio))
+    want = brute_kneser_ney(texts + more, 4)
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_without_usable_labels_nothing_is_rejected(spark):
+    rows, labels = labelled(spark, 40)
+    docs = documents(spark, rows + edge_texts(), True)
+    for few in (labels.limit(0), labels.filter("toxic = 0")):
+        assert {(r.score, r.predicted) for r in toxicity.score_documents(docs, few).collect()} == {(0.0, 0)}
+        assert toxicity.reject_toxic(docs, few).count() == len(rows) + len(edge_texts())
