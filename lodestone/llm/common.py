@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import Scratch  # noqa: F401  used by the operators
+
 #: Slots of the filters that are broadcast: at most this many rows, whatever the input.
 FILTER_SLOTS = 1 << 18
 
@@ -27,33 +27,6 @@ def texts(docs: DataFrame, column: str = "text", key: str = "doc_id") -> DataFra
     return docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[column].cast("string"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-class Scratch:
-    """Tables written to the shared folder and read again: they cut lineage and outlive any executor."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex[:12]}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Frees tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
