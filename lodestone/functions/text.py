@@ -79,7 +79,8 @@ def directory(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    """A name's first dot begins no extension."""
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
 
 
 def language(path: Column) -> Column:
@@ -94,10 +95,15 @@ def language_v1(path: Column) -> Column:
 
 
 def supported(path: Column, case_sensitive: bool = False) -> Column:
-    ext = F.regexp_extract(path, r"(\.[^./]+)$", 1) if case_sensitive else extension(path)
+    ext = F.regexp_extract(path, r"[^/](\.[^./]+)$", 1) if case_sensitive else extension(path)
     return ext.isin(*EXTENSIONS)
 
 
+def is_supported(name: str) -> bool:
+    """supported() of one file's name, for listings."""
+    return "." + name[1:].rsplit(".", 1)[-1].lower() in EXTENSIONS and "." in name[1:]
+
+
 def ignored(path: Column, names: tuple[str, ...] = IGNORED) -> Column:
     """Whether a folder or the file itself of a relative path has an ignored name."""
     return F.arrays_overlap(F.split(slashes(path), "/"), F.array(*map(F.lit, names)))
@@ -171,6 +177,23 @@ def row_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*(p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)))), 256), 1, 32)
 
 
+def python_round4(x: Column) -> Column:
+    """To four places as Python's round: by the exact binary value, ties to the even digit. Only values near a tie need exact
+    arithmetic, in parts of the binary value that fit whole numbers."""
+    size = F.least(F.abs(x), F.lit(64.0))
+    high = F.floor(size * float(1 << 26))
+    low = F.floor((size * float(1 << 26) - high) * float(1 << 44))
+    whole = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    scaled = (high.cast("decimal(12,0)") * whole(10_000 << 44).cast("decimal(18,0)")).cast("decimal(38,0)") + (low.cast("decimal(14,0)") * F.lit(10_000).cast("decimal(5,0)")).cast("decimal(38,0)")
+    down = F.floor(size * 10_000).cast("decimal(38,0)")
+    rest = scaled - (down.cast("decimal(12,0)") * whole(1 << 70).cast("decimal(22,0)")).cast("decimal(38,0)")
+    half = whole(1 << 69)
+    up = (rest > half) | ((rest == half) & (down % 2 == 1))
+    exact = (down.cast("long") + up.cast("int")) / 10_000 * F.signum(x)
+    near = F.abs(size * 10_000 - F.floor(size * 10_000) - 0.5) < 1e-6
+    return F.when(near & (size < 64), exact).otherwise(F.round(x, 4))
+
+
 def round4(x: Column) -> Column:
     """To four places, halves upwards."""
     return F.floor(x * 10000 + 0.5) / 10000

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """Over the shorter length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
@@ -32,17 +33,29 @@ def cosine_to(a: Column, query: list[float]) -> Column:
     return cosine(F.slice(a, 1, len(q)) if len(q) else a, literal, norm(a), F.lit(float(np.sqrt((q * q).sum()))))
 
 
+def matrix(vectors: list, width: int, kind=np.float64) -> np.ndarray:
+    """Vectors as rows of one length, width at least: shorter ones are filled with zeros, which products and norms don't see.
+    A null vector and one with a null in it become rows of NaN."""
+    rows = [np.full(1, np.nan, dtype=kind) if v is None else np.asarray(v, dtype=np.float64).astype(kind) for v in vectors]
+    out = np.zeros((len(rows), max([width, *map(len, rows)])), dtype=kind)
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    return out
+
+
 def inner_product_f32(query: list[float]):
-    """Inner product of L2-normalised 32-bit vectors, a zero norm counting as 1 and the query's as 1e-9 at least."""
+    """Inner product of L2-normalised 32-bit vectors, a zero norm counting as 1 and the query's as 1e-9 at least; over the
+    shorter length; null for a null vector or one with a null in it."""
     q = np.asarray(query, dtype=np.float32)
     q = q / max(float(np.linalg.norm(q)), 1e-9)
 
     @F.pandas_udf("float")
     def product(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            m = np.stack(s.to_numpy()).astype(np.float32) if len(s) else np.zeros((0, len(q)), np.float32)
+            m = matrix(s.tolist(), len(q), np.float32)
             size = np.linalg.norm(m, axis=1, keepdims=True)
-            yield pd.Series((m / np.where(size == 0, 1, size)) @ q)
+            found = (m / np.where(size == 0, 1, size))[:, : len(q)] @ q
+            yield pd.Series(found).where(~np.isnan(m).any(axis=1), None)
 
     return product
 

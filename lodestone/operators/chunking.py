@@ -294,7 +294,12 @@ def parsed(files: DataFrame, older: bool = False) -> DataFrame:
 
 
 def chunks(files: DataFrame, older: bool = False) -> DataFrame:
-    found = parsed(files, older).filter("specifier IS NULL").drop("specifier")
+    return identified(parsed(files, older))
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """The chunks of parsed rows, with their ids."""
+    found = rows.filter("specifier IS NULL").drop("specifier")
     return found.withColumn("chunk_id", chunk_id(F.col("file_id"), F.col("start_line"), F.col("end_line"), F.col("chunk_type"), F.coalesce("name", F.lit("")), F.col("content")))
 
 

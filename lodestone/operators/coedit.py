@@ -6,16 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pairs(sessions: DataFrame, seen: Column | None = None) -> DataFrame:
-    """(file_a, file_b, count, last_seen): in how many sessions (session_id, file_id) both files of a pair changed.
+#: Files of a session that one task pairs with as many others. A mass change (a checkout, say) has more, and its pairs are
+#: made block by block over the cluster; it counts as one session like any other.
+BLOCK = 500
+
+
+def pairs(sessions: DataFrame, seen: Column | None = None, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """(file_a, file_b, count, last_seen): in how many sessions (session_id, file_id) both files of a pair changed; with by,
+    sessions and pairs belong to these columns' values.
 
     A session is a short burst of edits; its distinct files are gathered and its pairs made in place, so the join of the
-    sessions with themselves needs no second shuffle."""
-    seen = F.lit(0).cast("long") if seen is None else seen
-    grouped = sessions.groupBy("session_id").agg(F.sort_array(F.collect_set("file_id")).alias("files"), F.max(seen).alias("seen")).filter(F.size("files") > 1)
-    first = grouped.select("files", "seen", F.posexplode("files").alias("i", "file_a"))
-    both = first.select("file_a", "seen", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("file_b"))
-    return both.groupBy("file_a", "file_b").agg(F.count("*").alias("count"), F.max("seen").alias("last_seen"))
+    sessions with themselves needs no second shuffle. The files of a larger session are cut into blocks, and the pairs of
+    blocks spread over the tasks."""
+    seen, by = F.lit(0).cast("long") if seen is None else seen, by or []
+    grouped = sessions.groupBy(*by, "session_id").agg(F.sort_array(F.collect_set("file_id")).alias("files"), F.max(seen).alias("seen")).filter(F.size("files") > 1)
+    first = grouped.filter(F.size("files") <= block).select(*by, "files", "seen", F.posexplode("files").alias("i", "file_a"))
+    few = first.select(*by, "file_a", "seen", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("file_b"))
+    last = F.floor((F.size("files") - 1) / block).cast("int")
+    blocks = grouped.filter(F.size("files") > block).select(*by, "files", "seen", F.explode(F.sequence(F.lit(0), last)).alias("m"), last.alias("last"))
+    blocks = blocks.select(*by, "seen", "m", F.expr(f"slice(files, m * {block} + 1, {block})").alias("own"), "files", F.explode(F.sequence("m", "last")).alias("n"))
+    blocks = blocks.select(*by, "seen", "m", "n", "own", F.expr(f"slice(files, n * {block} + 1, {block})").alias("other")).repartition(F.xxhash64("own", "other"))
+    one = blocks.select(*by, "seen", "other", F.explode("own").alias("file_a")).select(*by, "file_a", "seen", F.explode("other").alias("file_b"))
+    both = few.unionByName(one.filter("file_a < file_b"))
+    return both.groupBy(*by, "file_a", "file_b").agg(F.count("*").alias("count"), F.max("seen").alias("last_seen"))
 
 
 def merged(stored: DataFrame, new: DataFrame) -> DataFrame:

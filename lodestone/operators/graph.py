@@ -32,6 +32,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
+    edges = edges.filter("from_id IS NOT NULL AND to_id IS NOT NULL")  # an end that isn't known leads nowhere
     forth, back = edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")), edges.select(F.col("to_id").alias("at"), F.col("from_id").alias("next"))
     return {"outgoing": forth, "incoming": back, "both": forth.unionByName(back)}[checked_direction(direction)].distinct()
 
@@ -42,14 +43,15 @@ SMALL = 500_000
 
 def _walked(steps: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
     """The traversal of a small graph in one task, over arrays of its distinct steps."""
-    rows = steps.select("at", "next").unionByName(roots.select(F.lit(None).cast(steps.schema["at"].dataType).alias("at"), F.col("node").alias("next")))
+    nothing = F.lit(None).cast(steps.schema["at"].dataType)
+    rows = steps.select("at", "next", F.lit(False).alias("root")).unionByName(roots.filter("node IS NOT NULL").select(nothing.alias("at"), F.col("node").alias("next"), F.lit(True).alias("root")))
 
     def run(batches):
-        found = [(np.asarray(b.column(0).to_pylist(), dtype=object), np.asarray(b.column(1).to_pylist(), dtype=object)) for b in batches]
+        found = [[np.asarray(b.column(i).to_pylist(), dtype=object) for i in range(3)] for b in batches]
         if not found:
             return
-        at, next_ = (np.concatenate(x) for x in zip(*found))
-        start = np.array([x is None for x in at], dtype=bool)
+        at, next_, root = (np.concatenate(x) for x in zip(*found))
+        start = root.astype(bool)
         names, number = np.unique(np.concatenate([at[~start], next_]), return_inverse=True)
         a, b, level = number[: (~start).sum()], number[(~start).sum() :][~start], np.unique(number[(~start).sum() :][start])
         order = np.argsort(a, kind="stable")
@@ -72,8 +74,9 @@ def bfs(edges: DataFrame, roots: DataFrame, direction: str = "both", depth: int
 
     A graph of at most small edges, which is counted up to there first, is walked by one task. In a larger one each hop
     joins the last level with the edges and drops what was seen; levels are written to the shared folder, so the plan
-    doesn't grow, and only whether a level is empty comes to the driver."""
-    steps, roots = _steps(edges, direction), roots.toDF("node")
+    doesn't grow, and only whether a level is empty comes to the driver. Both give the same rows. Null roots and edges with a
+    null end take no part; a root that no edge knows is reached at 0."""
+    steps, roots = _steps(edges, direction), roots.toDF("node").filter("node IS NOT NULL")
     if edges.select("from_id").limit(small + 1).count() <= small:
         return _walked(steps, roots.withColumn("node", F.col("node").cast(steps.schema["at"].dataType)), depth)
     scratch = Scratch(edges.sparkSession, "bfs")

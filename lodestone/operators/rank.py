@@ -12,11 +12,16 @@ from lodestone.schema import Options
 def recency(candidates: DataFrame, modified: Column, by: str | None = None) -> DataFrame:
     """Age within the candidates, 0 newest to 1 oldest; a missing time counts as the oldest, equal times give 0, and no
     time at all gives null. Only positive times set the range."""
-    w = Window.partitionBy(F.lit(0) if by is None else F.col(by))
     known = F.when(modified > 0, modified)
-    low, high = F.min(known).over(w), F.max(known).over(w)
+    if by is None:  # one row of bounds, summed where the rows are
+        bounds = F.broadcast(candidates.agg(F.min(known).alias("_low"), F.max(known).alias("_high")))
+        joined = candidates.join(bounds)
+    else:
+        bounds = candidates.groupBy(by).agg(F.min(known).alias("_low"), F.max(known).alias("_high"))
+        joined = candidates.join(bounds, F.col(by).eqNullSafe(bounds[by])).drop(bounds[by])
+    low, high = F.col("_low"), F.col("_high")
     span = F.when(high == low, F.lit(1.0)).otherwise((high - low).cast("double"))
-    return candidates.withColumn("recency", (high - F.coalesce(modified, low)).cast("double") / span)
+    return joined.withColumn("recency", (high - F.coalesce(modified, low)).cast("double") / span).drop("_low", "_high")
 
 
 def final_score(semantic: Column, distance: Column, age: Column, coedit: Column, options: Options = Options()) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import schema
+from lodestone.functions import text as X
 from lodestone.functions import vector as V
 from lodestone.sources.scratch import Scratch
 
@@ -20,6 +21,10 @@ def of_type(candidates: DataFrame, chunk_type: str | None) -> DataFrame:
     return candidates if chunk_type in (None, "any") else candidates.filter(F.col("chunk_type") == chunk_type)
 
 
+# One rule for vectors that don't fit, everywhere: a null vector, or one with a null in it, takes no part; of vectors of
+# different lengths the shorter counts as filled with zeros.
+
+
 def cosine_scores(candidates: DataFrame, query: list[float], column: str = "embedding") -> DataFrame:
     return candidates.withColumn("score", V.cosine_to(F.col(column), query))
 
@@ -34,38 +39,30 @@ def top(scored: DataFrame, k: int, order: list[Column]) -> DataFrame:
 
 def topk(candidates: DataFrame, query: list[float], k: int = 10, chunk_type: str | None = None, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
     """By the unrounded cosine, ties by the key; without the vector."""
-    scored = cosine_scores(of_type(candidates, chunk_type), query, column).drop(column)
+    scored = cosine_scores(of_type(candidates, chunk_type), query, column).drop(column).filter("score IS NOT NULL")
     return top(scored, k, [F.desc("score"), F.asc(key)])
 
 
 def topk_v1(candidates: DataFrame, query: list[float], k: int = 10, chunk_type: str | None = None) -> DataFrame:
-    """By the cosine to four places."""
-    scored = cosine_scores(of_type(candidates, chunk_type), query).drop("embedding").withColumn("score", F.round("score", 4))
+    """By the cosine to four places, as Python rounds."""
+    scored = cosine_scores(of_type(candidates, chunk_type), query).drop("embedding").filter("score IS NOT NULL").withColumn("score", X.python_round4(F.col("score")))
     return top(scored, k, [F.desc("score"), F.asc("chunk_id")])
 
 
 def inner_product_topk_v1(candidates: DataFrame, query: list[float], k: int = 10, chunk_type: str | None = None) -> DataFrame:
     """By the inner product of normalised 32-bit vectors, shown to four places. k is at most the number of candidates."""
-    scored = of_type(candidates, chunk_type).withColumn("raw", V.inner_product_f32(query)(F.col("embedding"))).drop("embedding")
-    return top(scored, k, [F.desc("raw"), F.asc("chunk_id")]).withColumn("score", F.round(F.col("raw").cast("double"), 4)).drop("raw")
+    scored = of_type(candidates, chunk_type).withColumn("raw", V.inner_product_f32(query)(F.col("embedding"))).drop("embedding").filter("raw IS NOT NULL")
+    return top(scored, k, [F.desc("raw"), F.asc("chunk_id")]).withColumn("score", X.python_round4(F.col("raw").cast("double"))).drop("raw")
 
 
-def knn_join(queries: DataFrame, candidates: DataFrame, k: int, key: str = "chunk_id", column: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+def knn_join(queries: DataFrame, candidates: DataFrame, k: int, key: str = "chunk_id", column: str = "embedding", block: int = 10_000) -> DataFrame:
     """The k nearest candidates of each query (query_id, vector): a stated set of queries against all candidates.
 
-    Queries, at most max_queries, go to every task; each task scores its candidates in blocks by one matrix product and
-    keeps k of each query, so what is shuffled is tasks x queries x k rows and never all pairs."""
-    rows = queries.select("query_id", "vector").limit(max_queries + 1).toArrow()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; split them")
-    return _nearest(rows.column("query_id").to_pylist(), rows.column("vector").to_pylist(), candidates, k, key, column)
-
-
-def knn_join_blocks(queries: DataFrame, candidates: DataFrame, k: int, key: str = "chunk_id", column: str = "embedding", block: int = 10_000) -> DataFrame:
-    """knn_join for any number of queries with distinct ids: they pass the driver in blocks, and where there are several, the
-    result of each is written to the shared folder, so that one block at a time is held and broadcast."""
+    A block of queries goes to every task; each task scores its candidates by matrix products and keeps k of each query, so
+    what is shuffled is tasks x queries x k rows and never all pairs. Any number of queries pass the driver in blocks, and
+    where there are several, the result of each is written to the shared folder, so that one at a time is held and broadcast."""
     scratch, parts = Scratch(candidates.sparkSession, "knn"), []
-    rows = queries.select("query_id", "vector").toLocalIterator()
+    rows = queries.select("query_id", "vector").filter(F.col("vector").isNotNull()).toLocalIterator()
     held = list(islice(rows, block))
     while True:
         following = list(islice(rows, block))
@@ -78,27 +75,45 @@ def knn_join_blocks(queries: DataFrame, candidates: DataFrame, k: int, key: str
         held = following
 
 
+#: Scores that a task holds at a time.
+_SCORES = 1 << 22
+
+
+def _first(score: np.ndarray, id_: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest of each row, of equal ones those of the least ids; only rows with a tie at the k-th value are sorted."""
+    if not k:
+        return score[:, :0], id_[:, :0]
+    at = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    bound = np.take_along_axis(score, at, axis=1).min(axis=1)
+    for i in np.flatnonzero((score >= bound[:, None]).sum(axis=1) > k):
+        best = np.flatnonzero(score[i] >= bound[i])
+        at[i] = best[np.lexsort((id_[i, best], -score[i, best]))[:k]]
+    return np.take_along_axis(score, at, axis=1), np.take_along_axis(id_, at, axis=1)
+
+
 def _nearest(names: list, vectors: list, candidates: DataFrame, k: int, key: str, column: str) -> DataFrame:
-    q = np.array(vectors, dtype=np.float64).reshape(len(names), len(vectors[0]) if vectors else 0)
+    q = V.matrix(vectors, 1)
+    own = ~np.isnan(q).any(axis=1)
+    names, q = [n for n, fine in zip(names, own) if fine], q[own]
     size = np.linalg.norm(q, axis=1, keepdims=True)
     shared = candidates.sparkSession.sparkContext.broadcast((names, q / np.where(size == 0, 1, size)))
 
     def best(batches):
         names, q = shared.value
-        held = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in names]
-        for batch in batches:
-            if not batch.num_rows or not len(names):
-                continue
-            ids, m = np.array(batch.column(0)), np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+        score, id_ = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)
+        step = max(1, _SCORES // max(1, len(names)))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step) if len(names)):
+            m = V.matrix(batch.column(1).to_pylist(), q.shape[1])
+            fine = ~np.isnan(m).any(axis=1)
+            ids, m = np.array(batch.column(0))[fine], m[fine]
             norms = np.linalg.norm(m, axis=1)
-            scores = q @ (m / np.where(norms == 0, 1, norms)[:, None]).T
-            for i in range(len(names)):
-                s, c = np.concatenate([held[i][0], scores[i]]), np.concatenate([held[i][1], ids])
-                order = np.lexsort((c, -s))[:k]
-                held[i] = s[order], c[order]
-        out = [(n, int(c), float(s)) for n, (ss, cs) in zip(names, held) for s, c in zip(ss, cs)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["query_id", key, "score"])
+            score = np.hstack([score, q @ (m / np.where(norms == 0, 1, norms)[:, None])[:, : q.shape[1]].T])
+            id_ = np.hstack([id_, np.broadcast_to(ids, (len(names), len(ids)))])
+            if score.shape[1] > k:
+                score, id_ = _first(score, id_, k)
+        n, width = score.shape
+        if n * width:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, dtype=np.int64), width)), pa.array(id_.reshape(-1)), pa.array(score.reshape(-1))], ["query_id", key, "score"])
 
     partial = candidates.select(F.col(key).cast("long").alias(key), column).mapInArrow(best, f"query_id long, {key} long, score double")
     from pyspark.sql import Window

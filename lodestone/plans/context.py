@@ -20,7 +20,7 @@ def search(candidates: DataFrame, query: list[float], k: int = OPTIONS.k, chunk_
 
 def search_memories(memories: DataFrame, query: list[float], k: int = OPTIONS.memory_candidates) -> DataFrame:
     """The k memories nearest to the query vector, newer ones first among equals."""
-    scored = vector.cosine_scores(memories, query).drop("embedding")
+    scored = vector.cosine_scores(memories, query).drop("embedding").filter("score IS NOT NULL")
     return vector.top(scored, k, [F.desc("score"), F.desc("created_at"), F.asc("memory_id")])
 
 

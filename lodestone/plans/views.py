@@ -17,7 +17,7 @@ EDGES = """select distinct event_id as from_id, user_id as to_id,
        case event_type when 'click' then 'calls' when 'view' then 'calls' when 'purchase' then 'extends' else 'imports' end as edge_type
 from events
 where event_id in (select vec_id from embeddings) and user_id in (select vec_id from embeddings)
-  and event_id <> user_id and event_id % 3 <> 0"""
+  and event_id <> user_id"""
 MEMORIES = """select concat(cast(conv_id as varchar(20)),'-',cast(turn as varchar(20))) as memory_id,
        case role when 'user' then 'decision' when 'assistant' then 'pattern' else 'context_note' end as memory_type,
        text as content, conv_id*1000+turn as created_at, (conv_id*31+turn)%500 as vec_id, concat('p',cast(conv_id % 5 as varchar(9))) as project_id

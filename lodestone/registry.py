@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,17 +10,18 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import chunking, coedit, graph, rank, vector
-from lodestone.plans import context
+from lodestone.plans import context, engine
 from lodestone.plans.views import Tables, with_views
 from lodestone.sources import files as sources
 from lodestone.sources import store
 from lodestone.sources.scratch import Scratch
+from lodestone.sources.tree import remove_from_tree, write_tree
 from lodestone.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-ACTIVE = "f7.py"
+ACTIVE = "src/f7.py"
 ACTIVE_PART = 5
 
 
@@ -67,9 +69,10 @@ def cosine_topk_round4_v1(t):
     return vector.topk_v1(t.view("v_candidates"), t.vector(), 10).select("rank", "chunk_id", "path", six("score"))
 
 
-@query()
+@query("v_candidates", f"select row_number() over (order by s desc, chunk_id)::int as rank, chunk_id, path, round(s, 3) as score from (select chunk_id, path, {_COS} as s from v_candidates, {_Q}) order by s desc, chunk_id limit 10")
 def inner_product_topk_v1(t):
-    return vector.inner_product_topk_v1(t.view("v_candidates").select("chunk_id", "path", "chunk_type", "embedding"), t.vector(), 10).select("rank", "chunk_id", "path", "score")
+    found = vector.inner_product_topk_v1(t.view("v_candidates").select("chunk_id", "path", "chunk_type", "embedding"), t.vector(), 10)
+    return found.select("rank", "chunk_id", "path", F.round("score", 3).alias("score"))  # 32-bit products against 64-bit ones
 
 
 @query("", """select query_id, chunk_id, rank, round(s, 6) as score from (
@@ -78,7 +81,7 @@ def inner_product_topk_v1(t):
   from embeddings a, embeddings b where a.vec_id % 20 = 0) where rank <= 5""")
 def knn_join(t):
     rows = t.read("embeddings")
-    found = vector.knn_join_blocks(rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), rows.withColumnRenamed("vec_id", "chunk_id"), 5)
+    found = vector.knn_join(rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), rows.withColumnRenamed("vec_id", "chunk_id"), 5)
     return found.select("query_id", "chunk_id", "rank", six("score"))
 
 
@@ -87,15 +90,16 @@ def knn_join(t):
 @query("", """select e.vec_id as chunk_id, d.source as project_id, concat(d.source, '/', d.doc_id::varchar) as path, d.lang as language, len(e.embedding)::int as dims, v.event_type as chunk_type
 from embeddings e join events v on v.event_id = e.vec_id join documents d on d.doc_id = e.vec_id""")
 def candidate_join(t):
-    chunks = t.read("events").select(F.col("event_id").alias("chunk_id"), F.col("event_type").alias("chunk_type"))
-    files = t.view("v_files").select(F.col("file_id").alias("chunk_id"), "project_id", "path", "language")
+    chunks = t.read("events").select(F.col("event_id").alias("chunk_id"), F.col("event_id").alias("file_id"), F.col("event_type").alias("chunk_type"))
+    files = t.view("v_files").select("file_id", "project_id", "path", "language")
     vectors = t.read("embeddings").select(F.col("vec_id").alias("chunk_id"), F.size("embedding").alias("dims"))
-    return vectors.join(chunks, "chunk_id").join(files, "chunk_id").select("chunk_id", "project_id", "path", "language", "dims", "chunk_type")
+    return engine.with_files(vectors, chunks, files).select("chunk_id", "project_id", "path", "language", "dims", "chunk_type")
 
 
 @query("v_candidates", "select chunk_id, path, chunk_type, start_line, end_line from v_candidates where chunk_id in (3, 17, 256, 499, 100000000)")
 def candidates_by_ids(t):
-    return t.view("v_candidates").filter(F.col("chunk_id").isin(3, 17, 256, 499, 100000000)).select("chunk_id", "path", "chunk_type", "start_line", "end_line")
+    wanted = t.spark.createDataFrame([(i,) for i in (3, 17, 256, 499, 100000000)], "chunk_id long")
+    return engine.by_ids(t.view("v_candidates"), wanted).select("chunk_id", "path", "chunk_type", "start_line", "end_line")
 
 
 _BLOCKS = """blocks as (select file_id, b.block::int as block, (b.block * 50 + 1)::int as start_line, (b.block * 50 + len(part))::int as end_line, array_to_string(part, chr(10)) as content
@@ -129,13 +133,13 @@ def file_edges_distinct(t):
     return graph.file_edges(t.view("v_edges"), t.view("v_candidates"))
 
 
-@query("v_candidates v_edges", """@n as (select file_id, count(*) as c from v_candidates group by 1 order by 2 desc, 1 limit 30)
+@query("v_candidates v_edges", """@n as (select file_id, count(*) as c from v_candidates group by 1 order by 2 desc, 1 limit 400)
 select distinct a.file_id as from_file, b.file_id as to_file from v_edges e join v_candidates a on a.chunk_id = e.from_id join v_candidates b on b.chunk_id = e.to_id
 where a.file_id <> b.file_id and a.file_id in (select file_id from n) and b.file_id in (select file_id from n)""")
 def file_graph(t):
     chunks = t.view("v_candidates").select("chunk_id", "file_id", "path")
     files = chunks.select("file_id", "path").distinct().withColumn("language", F.lit("python"))
-    return graph.file_graph(files, chunks, t.view("v_edges"), 30)[1]
+    return graph.file_graph(files, chunks, t.view("v_edges"))[1]
 
 
 @query("v_candidates", "select path, arg_min(chunk_id, start_line * 100000 + chunk_id) as chunk_id from v_candidates group by path")
@@ -161,10 +165,10 @@ def coedit_pairs(t):
 
 
 @query("v_sessions", f"""@{_PAIRS}, own as (select case when file_a = {ACTIVE_PART} then file_b else file_a end as path, count from pairs where file_a = {ACTIVE_PART} or file_b = {ACTIVE_PART})
-select p_partkey as path, round(coalesce(count / (select max(count) from own), 0), 6)::double as score from part left join own on path = p_partkey where p_partkey <= 200 and (select count(*) from own) > 0""")
+select p_partkey as path, round(coalesce(count / (select max(count) from own), 0), 6)::double as score from part left join own on path = p_partkey where (select count(*) from own) > 0""")
 def coedit_scores(t):
     counts = coedit.pairs(t.view("v_sessions"), F.col("session_id"))
-    found = coedit.scores(counts, ACTIVE_PART, t.read("part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("path")))
+    found = coedit.scores(counts, ACTIVE_PART, t.read("part").select(F.col("p_partkey").alias("path")))
     return found.select("path", six("score"))
 
 
@@ -303,10 +307,10 @@ def base_names_v1(t):
     return _code(t).select("chunk_id", F.explode(X.base_names(F.col("content"))).alias("base"))
 
 
-@query("", "select doc_id, count(*)::int as n_modules, min(m) as first_module, max(m) as last_module from (select distinct doc_id, unnest(regexp_extract_all(replace(text, chr(10), concat(chr(10), 'import ')), '(?m)^(?:from|import)\\s+([\\w.]+)', 1)) as m from documents where lang = 'en') group by 1")
+@query("", "select doc_id, count(*)::int as n_modules, min(m) as first_module, max(m) as last_module from (select distinct doc_id, unnest(regexp_extract_all(replace(text, chr(10), concat(chr(10), 'import ')), '(?m)^(?:from|import)\\s+([\\w.]+)', 1)) as m from documents) group by 1")
 def import_regex_v1(t):
     names = X.imported_names(F.replace(F.col("text"), F.lit("\n"), F.lit("\nimport ")))
-    rows = t.read("documents").filter("lang = 'en'").select("doc_id", names.alias("names")).filter(F.size("names") > 0)
+    rows = t.read("documents").select("doc_id", names.alias("names")).filter(F.size("names") > 0)
     return rows.select("doc_id", F.size("names").alias("n_modules"), F.array_min("names").alias("first_module"), F.array_max("names").alias("last_module"))
 
 
@@ -322,21 +326,24 @@ _RANKED = f"""top as (select *, row_number() over (order by s desc, chunk_id)::i
 timed as (select *, arg_max(epoch_us(modified_at), rank) over (partition by path) as m from top),
 anchor as (select arg_min(chunk_id, rank) as node from top where path = '{ACTIVE}' or ends_with(path, '/{ACTIVE}')),
 root as (select node from anchor where node is not null), {_reach('both', 40)},
-scored as (select *, (max(m) over () - m) / greatest((max(m) over () - min(m) over ())::double, 1) as recency,
+counted as (select a.path as file_a, b.path as file_b, count(*) as count from (select distinct modified % 40 as sid, path from v_candidates) a join (select distinct modified % 40 as sid, path from v_candidates) b on a.sid = b.sid and a.path < b.path group by 1, 2),
+own as (select case when file_a = '{ACTIVE}' then file_b else file_a end as other, count from counted where file_a = '{ACTIVE}' or file_b = '{ACTIVE}'),
+scored as (select *, case when (select count(*) from own) > 0 then coalesce((select count from own where other = path) / (select max(count) from own), 0) end as coedit, (max(m) over () - m) / greatest((max(m) over () - min(m) over ())::double, 1) as recency,
   case when exists (select 1 from root) then coalesce((select least(1.0::double, distance / (select greatest(1, max(distance)) from walk_d)) from walk_d where node = chunk_id), 1.0::double) end as graph_distance from timed),
-final as (select *, floor((0.55::double * s + 0.20::double * (1.0::double - coalesce(graph_distance, 0.5::double)) + 0.10::double * (1.0::double - recency) + 0.0::double) * 10000 + 0.5::double) / 10000 as final_score from scored),
+final as (select *, floor((0.55::double * s + 0.20::double * (1.0::double - coalesce(graph_distance, 0.5::double)) + 0.10::double * (1.0::double - recency) + 0.15::double * coalesce(coedit, 0)::double) * 10000 + 0.5::double) / 10000 as final_score from scored),
 ranked as (select *, row_number() over (order by final_score desc, rank)::int as final_rank, ceil(length(coalesce(content, '')) / 4)::int as tokens from final),
 budgeted as (select *, sum(tokens) over (order by final_rank)::bigint as running_tokens from ranked)"""
 
 
 def _ranking(t) -> DataFrame:
     modified = F.unix_micros(F.col("modified_at").cast("timestamp"))
-    return context.ranked(t.view("v_candidates"), t.vector(), t.view("v_edges"), None, ACTIVE, modified)
+    together = coedit.pairs(t.view("v_candidates").select((F.col("modified") % 40).alias("session_id"), F.col("path").alias("file_id")))
+    return context.ranked(t.view("v_candidates"), t.vector(), t.view("v_edges"), together, ACTIVE, modified)
 
 
-@query("v_candidates v_edges", f"@{_RANKED} select final_rank, rank, chunk_id, path, round(final_score, 4) as final_score, round(graph_distance, 6) as graph_distance, round(recency, 6) as recency from ranked")
+@query("v_candidates v_edges", f"@{_RANKED} select final_rank, rank, chunk_id, path, round(final_score, 4) as final_score, round(graph_distance, 6) as graph_distance, round(recency, 6) as recency, round(coedit, 6) as coedit from ranked")
 def final_rank(t):
-    return _ranking(t).select("final_rank", "rank", "chunk_id", "path", F.round("final_score", 4).alias("final_score"), six("graph_distance"), six("recency"))
+    return _ranking(t).select("final_rank", "rank", "chunk_id", "path", F.round("final_score", 4).alias("final_score"), six("graph_distance"), six("recency"), six("coedit"))
 
 
 @query("v_candidates v_edges", f"@{_RANKED} select final_rank, chunk_id, path, name, concat(start_line::varchar, '-', end_line::varchar) as lines, tokens, running_tokens, round(final_score, 4) as score from budgeted where running_tokens <= 8000")
@@ -357,9 +364,17 @@ def context_assembly(t):
     return context.assembled(context.sources(_ranking(t), 8000))
 
 
-@query()
+_JSON = """notes as (select row_number() over (order by {cos} desc, created_at desc, memory_id) as rank, memory_id, memory_type, content, created_at, round({cos}, 6) as score from v_memories join embeddings using (vec_id), {q} order by {cos} desc, created_at desc, memory_id limit 5),
+fitting as (select * from budgeted where running_tokens <= 8000)
+select to_json({{context: coalesce(string_agg(concat('// ', path, ':', start_line::varchar, '-', end_line::varchar, ' (', name, ')', chr(10), coalesce(content, '')), concat(chr(10), chr(10)) order by final_rank), ''),
+  sources: list({{path: path, name: name, lines: concat(start_line::varchar, '-', end_line::varchar), score: final_score}} order by final_rank),
+  memories: (select list({{id: memory_id, memory_type: memory_type, content: content, score: score, created_at: created_at}} order by rank) from notes), token_count: coalesce(sum(tokens), 0)::bigint}})::varchar as json from fitting"""
+
+
+@query("v_candidates v_edges v_memories", f"@{_RANKED},\n{_JSON.format(cos=_COS, q=_Q)}")
 def query_context_json(t):
-    return context.query_context_json(context.sources(_ranking(t), 8000), _memory_topk(t))
+    notes = _memory_topk(t).withColumn("score", F.round("score", 6))
+    return context.query_context_json(context.sources(_ranking(t), 8000), notes)
 
 
 # Texts
@@ -385,7 +400,10 @@ def line_counts(t):
     return t.read("documents").select("doc_id", X.line_count(F.col("text")).alias("n_lines"), X.line_count_v1(F.col("text")).alias("n_lines_v1"))
 
 
-@query()
+_UUID = "concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-5', substr({h}, 14, 3), '-', substr('89ab', ('0x' || substr({h}, 17, 1))::int % 4 + 1, 1), substr({h}, 18, 3), '-', substr({h}, 21, 12))"
+
+
+@query("v_files", f"select path, {_UUID.format(h='a')} as id, {_UUID.format(h='b')} as id_v1 from (select path, sha1(unhex('{X.NAMESPACE_DNS}') || encode(path)) as a, sha1(unhex('{X.NAMESPACE_URL}') || encode(path)) as b from v_files)")
 def project_uuid5(t):
     paths = t.view("v_files").select("path")
     return paths.select("path", X.uuid5(F.col("path")).alias("id"), X.uuid5(F.col("path"), X.NAMESPACE_URL).alias("id_v1"))
@@ -503,13 +521,11 @@ def delete_memory(t):
 @query("v_memories", "select memory_id, memory_type, content from v_memories union all select 'new', 'context_note', 'a note'")
 def remember(t):
     old = t.view("v_memories").select("memory_id", "memory_type", "content")
-    new = t.spark.range(1).select(F.lit("new").alias("memory_id"), F.lit("idea").alias("kind"), F.trim(F.lit("  a note ")).alias("content"))
-    from lodestone.schema import memory_type
-
-    return store.upserted(old, new.select("memory_id", memory_type(F.col("kind")).alias("memory_type"), "content"), ["memory_id"])
+    row, _ = engine.memory_row(t.spark, "p", "session", "idea", "  a note ", F.lit(0).cast("timestamp"))
+    return store.upserted(old, row.select(F.lit("new").alias("memory_id"), "memory_type", "content"), ["memory_id"])
 
 
-# Code and streams: no SQL for these
+# Code and streams
 
 def _generated(t, language: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
@@ -537,7 +553,8 @@ def js_chunks(t):
     return _of_code(t, "typescript", False).drop("token_count")
 
 
-@query()
+@query("", """select doc_id::varchar as file_id, u.t as chunk_type, case when u.n = 'C' then concat('C', doc_id::varchar) else u.n end as name, u.a::int as start_line, u.b::int as end_line, case when u.k < 0 then (u.base + u.times * length(doc_id::varchar)) // 4 else u.k end::int as token_count from documents,
+(values ('module', null, 1, 8, -1, 15, 1), ('class', 'C', 3, 6, -1, 56, 1), ('function', 'short', 8, 8, 4, 0, 0)) u(t, n, a, b, k, base, times)""")
 def python_chunks_v1(t):
     return _of_code(t, "python", True)
 
@@ -547,28 +564,53 @@ def code_imports(t):
     return chunking.imports(_generated(t, "typescript"))
 
 
-@query()
-def incremental_index(t):
-    """A tree of two revisions through the engine: its files and chunks after the second."""
-    from lodestone.plans.engine import Engine
-
-    scratch = Scratch(t.spark, "tree")
-    from lodestone.sources.tree import write_tree
-
-    root = f"{scratch.root}/tree"
-    write_tree(t.spark, root, {"a.py": "def f():\n    x = 1\n    return x\n", "b.py": "from .a import f\nclass K:\n    a = 1\n    b = 2\n", "node_modules/c.js": "x\ny\nz\n"})
-    engine = Engine(t.spark, f"{scratch.root}/store")
-    engine.index(root)
-    write_tree(t.spark, root, {"a.py": "def f():\n    x = 2\n    return x\n"})
-    done = engine.index(root)
-    files = engine.store.read("files").select(F.lit("file").alias("kind"), "path", F.col("language").alias("what"))
-    chunks = engine.candidates(root).select(F.lit("chunk").alias("kind"), "path", F.col("name").alias("what"))
-    return files.unionByName(chunks).withColumn("files_indexed", F.lit(done["files_indexed"]))
+_TREE = """nations as (select n_nationkey as k, n_regionkey as r, p.p from nation, (values ('one'), ('two')) p(p) where not (p.p = 'one' and n_nationkey % 5 = 4)),
+files as (select p, concat('pkg/n', k, '.py') as path, concat('f', k) as name, concat('pkg/r', r, '/__init__.py') as target, p = 'one' and k % 3 = 0 as changed from nations
+  union all select p, concat('pkg/r', r_regionkey, '/__init__.py'), 'f', null, false from region, (values ('one'), ('two')) p(p)
+  union all select p, 'pkg/_own/x.py', 'x', null, false from (values ('one'), ('two')) p(p) union all select p, 'empty.py', null, null, false from (values ('one'), ('two')) p(p))"""
 
 
-@query()
+@query("", f"""with {_TREE} select 'file' as kind, p as project, path, 'python' as what from files union all select 'chunk', p, path, case when changed then concat(name, '_2') else name end from files where name is not null
+union all select 'edge', p, path, target from files where target is not null union all select 'status', p, concat(count(*)::varchar, ' files'), concat(count(name)::varchar, ' chunks') from files group by p""")
+def incremental_index(t):
+    """Two trees of a module for each nation, which import their region's package. One tree then changes, and is brought up to
+    date by the paths that changed or went: its files, chunks and edges, and the other's, which stay as they were."""
+    scratch = Scratch(t.spark, "tree")
+    nations = [(r[0], r[1]) for r in t.read("nation").select("n_nationkey", "n_regionkey").collect()]
+    regions = [r[0] for r in t.read("region").select("r_regionkey").collect()]
+    own = lambda key, region, tail: f"from .r{region} import f\n\n\ndef f{key}{tail}():\n    x = 1\n    return x\n"
+    tree = {f"pkg/n{k}.py": own(k, r, "") for k, r in nations} | {f"pkg/r{r}/__init__.py": "def f():\n    x = 1\n    return x\n" for r in regions}
+    tree |= {"pkg/_own/x.py": "def x():\n    a = 1\n    return a\n", "empty.py": "", "node_modules/c.py": "def no():\n    a = 1\n    return a\n"}
+    lode = engine.Engine(t.spark, f"{scratch.root}/store")
+    roots = {p: f"{scratch.root}/{p}" for p in ("one", "two")}
+    for root in roots.values():
+        write_tree(t.spark, root, tree)
+        lode.index(root)
+    changed = {f"pkg/n{k}.py": own(k, r, "_2") for k, r in nations if k % 3 == 0 and k % 5 != 4}
+    gone = [f"pkg/n{k}.py" for k, _ in nations if k % 5 == 4]
+    write_tree(t.spark, roots["one"], changed)
+    remove_from_tree(t.spark, roots["one"], gone)
+    lode.index(roots["one"], paths=[*changed, *gone])
+    rows = []
+    for p, root in roots.items():
+        of = lode.candidates(root).select("chunk_id", "path", "name")
+        ends = of.select(F.col("chunk_id").alias("from_id"), "path"), of.select(F.col("chunk_id").alias("to_id"), F.col("path").alias("what"))
+        edges = lode.edges(root).join(ends[0], "from_id").join(ends[1], "to_id").select(F.lit("edge").alias("kind"), "path", "what")
+        status = lode.status(root).select(F.lit("status").alias("kind"), F.concat(F.col("n_files").cast("string"), F.lit(" files")).alias("path"), F.concat(F.col("n_chunks").cast("string"), F.lit(" chunks")).alias("what"))
+        files = lode.store(root).read("files").select(F.lit("file").alias("kind"), "path", F.col("language").alias("what"))
+        parts = [files, of.select(F.lit("chunk").alias("kind"), "path", F.col("name").alias("what")), edges, status]
+        rows += [part.select("kind", F.lit(p).alias("project"), "path", "what") for part in parts]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+@query("", """with timed as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end as fresh from events),
+numbered as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as session from timed),
+closed as (select user_id, session from numbered group by 1, 2 having max(ts) + interval 30 minute <= (select max(ts) from events)),
+types as (select distinct user_id, session, event_type from numbered semi join closed using (user_id, session))
+select a.event_type as file_a, b.event_type as file_b, count(*) as count from types a join types b on a.user_id = b.user_id and a.session = b.session and a.event_type < b.event_type group by 1, 2""")
 def streaming_coedit(t):
-    """Sessions of the events table read as a stream, and how often two event types meet in one of a user's sessions."""
+    """The closed sessions of the events table read as a stream, each emitted once when the watermark passes its end, and how
+    often two event types meet in one of a user's sessions."""
     scratch = Scratch(t.spark, "stream")
     table = t.read("events").schema
     stream = t.spark.readStream.schema(table).parquet(f"{t.folder}/events.parque[t]")  # a pattern, as the table may be a file or a folder
@@ -577,7 +619,7 @@ def streaming_coedit(t):
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{scratch.root}/sessions/batch={number}")
 
-    started = found.writeStream.outputMode("complete").option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+    started = found.writeStream.outputMode("append").option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     started.awaitTermination()
     sessions = t.spark.read.parquet(f"{scratch.root}/sessions").drop("batch")
     return watch.coedits(sessions, "user_id").select("file_a", "file_b", "count")

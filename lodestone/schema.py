@@ -20,6 +20,7 @@ TABLES: dict[str, T.StructType] = {
     "files": _table(id=_S, project_id=_S, path=_S, language=_S, hash=_S, last_modified=_D),
     "chunks": _table(id=_S, file_id=_S, chunk_type=_S, name=_S, content=_S, start_line=_I, end_line=_I, token_count=_I, metadata=T.MapType(_S, _S)),
     "embeddings": _table(chunk_id=_S, model=_S, vector=T.ArrayType(T.FloatType()), dims=_I, created_at=_TS),
+    "imports": _table(file_id=_S, from_path=_S, specifier=_S),
     "graph_edges": _table(id=_S, project_id=_S, from_chunk=_S, to_chunk=_S, edge_type=_S, weight=_D),
     "memories": _table(id=_S, project_id=_S, session_id=_S, memory_type=_S, content=_S, relevance_score=_D, created_at=_TS, expires_at=_TS),
     "memory_embeddings": _table(memory_id=_S, model=_S, vector=T.ArrayType(T.FloatType()), dims=_I, created_at=_TS),

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session, or what its context was told. A folder of our own (.lodestone-shared, below the
+    working directory) only where neither is set and all runs on one machine; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(".lodestone-shared")
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
 
 
 class Scratch:
@@ -26,3 +28,10 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Frees tables that no later step reads."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(conf).delete(path, True)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions import text as X
 from lodestone.operators import coedit
-from lodestone.sources.store import Store
+from lodestone.sources.store import Store, retried
 
 #: Events nearer than this belong to one burst of edits.
 GAP = "1500 milliseconds"
@@ -41,29 +41,25 @@ def accumulate(sessions: DataFrame, store: Store, checkpoint: str) -> StreamingQ
     """Adds each batch of closed sessions to the store's co-edit counts. A batch that runs again isn't counted twice: the
     store's last batch is kept with the counts, in one transaction."""
 
-    def add(batch: DataFrame, number: int) -> None:
-        done = store.read("projects").filter(F.col("id") == f"stream:{checkpoint}").select("config").first()
-        if done and int(done[0]) >= number:
-            return
-        ids = batch.select("project_id", F.explode("changed").alias("file_id"), F.unix_micros("start").alias("seen"))
-        new = _by_project(ids.withColumn("session_id", F.col("seen")))
-        old = store.read("file_coedits").withColumn("last_seen", F.unix_micros("last_seen"))
-        key = ["project_id", "file_a", "file_b"]
-        both = old.select(*key, "count", "last_seen").unionByName(new.select(*key, "count", "last_seen"))
-        both = both.groupBy(*key).agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
-        mark = batch.sparkSession.range(1).select(F.lit(f"stream:{checkpoint}").alias("id"), F.lit(str(number)).alias("config"))
+    def step(batch: DataFrame, number: int) -> None:
         with store.transaction():
+            done = store.read("projects").filter(F.col("id") == f"stream:{checkpoint}").select("config").first()
+            if done and int(done[0]) >= number:
+                return
+            ids = batch.select("project_id", F.col("start").alias("session_id"), F.explode("changed").alias("file_id"), F.unix_micros("start").alias("seen"))
+            new = coedit.pairs(ids, F.col("seen"), ["project_id"])
+            old = store.read("file_coedits").withColumn("last_seen", F.unix_micros("last_seen"))
+            key = ["project_id", "file_a", "file_b"]
+            both = old.select(*key, "count", "last_seen").unionByName(new.select(*key, "count", "last_seen"))
+            both = both.groupBy(*key).agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
+            mark = batch.sparkSession.range(1).select(F.lit(f"stream:{checkpoint}").alias("id"), F.lit(str(number)).alias("config"))
             store.write("file_coedits", both.select(X.edge_id(*(F.col(k) for k in key)).alias("id"), *key, "count", F.timestamp_micros("last_seen").alias("last_seen")))
             store.upsert("projects", mark, ["id"])
 
-    return sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(add).start()
-
+    def add(batch: DataFrame, number: int) -> None:
+        retried(lambda: step(batch, number))
 
-def _by_project(ids: DataFrame) -> DataFrame:
-    grouped = ids.groupBy("project_id", "session_id").agg(F.sort_array(F.collect_set("file_id")).alias("files"), F.max("seen").alias("seen")).filter(F.size("files") > 1)
-    first = grouped.select("project_id", "files", "seen", F.posexplode("files").alias("i", "file_a"))
-    both = first.select("project_id", "file_a", "seen", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("file_b"))
-    return both.groupBy("project_id", "file_a", "file_b").agg(F.count("*").alias("count"), F.max("seen").alias("last_seen"))
+    return sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(add).start()
 
 
 def reindex(sessions: DataFrame, index: Callable[[str, list[str]], object], checkpoint: str) -> StreamingQuery:

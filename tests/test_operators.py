@@ -1,4 +1,5 @@
 import math
+import random
 import uuid
 
 import numpy as np
@@ -38,8 +39,6 @@ def test_topk(spark):
         vector.topk(rows, [1.0, 0.0], -1)
     got = vector.knn_join(rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), rows, 2).collect()
     assert sorted((r.query_id, r.rank, r.chunk_id) for r in got) == [(0, 1, 0), (0, 2, 1), (1, 1, 0), (1, 2, 1), (2, 1, 2), (2, 2, 0)]
-    with pytest.raises(ValueError):
-        vector.knn_join(rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), rows, 2, max_queries=2)
 
 
 def test_knn_join_in_blocks(spark):
@@ -48,8 +47,8 @@ def test_knn_join_in_blocks(spark):
     found = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
     want = found(vector.knn_join(queries, rows, 3))
     for block in (4, 25, 100):
-        assert found(vector.knn_join_blocks(queries, rows, 3, block=block)) == want
-    assert len(want) == 75 and vector.knn_join_blocks(queries.limit(0), rows, 3).count() == 0
+        assert found(vector.knn_join(queries, rows, 3, block=block)) == want
+    assert len(want) == 75 and vector.knn_join(queries.limit(0), rows, 3).count() == 0
 
 
 def test_limits_reach_every_task(spark):
@@ -219,3 +218,37 @@ def test_hashing_provider(spark):
     rows = spark.createDataFrame([("a", "one two"), ("b", None)], "chunk_id string, content string")
     got = {r.chunk_id: r for r in embed.embedded(rows, embed.Hashing(16)).collect()}
     assert math.isclose(sum(x * x for x in got["a"].vector), 1, abs_tol=1e-6) and not any(got["b"].vector) and got["a"].dims == 16
+
+
+def test_vectors_that_do_not_fit(spark):
+    """Null vectors and those with a null take no part; shorter ones count as filled with zeros."""
+    rows = spark.createDataFrame([(0, "m", [1.0, 0.0]), (1, "m", None), (2, "m", [1.0]), (3, "m", [1.0, 0.0, 1.0]), (4, "m", [None, 1.0]), (5, "m", [])], "chunk_id long, chunk_type string, embedding array<float>")
+    order = [0, 2, 3, 5]
+    for found in (vector.topk(rows, [1.0, 0.0], 9), vector.topk_v1(rows, [1.0, 0.0], 9), vector.inner_product_topk_v1(rows, [1.0, 0.0], 9)):
+        got = found.orderBy("rank").collect()
+        assert [r.chunk_id for r in got] == order and [round(r.score, 3) for r in got] == [1.0, 1.0, 0.707, 0.0]
+    queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, None), (9, [2.0])], "query_id long, vector array<float>")
+    got = vector.knn_join(queries, rows, 9).collect()
+    assert [[r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (7, 8, 9)] == [order, [], order]
+
+
+def test_python_rounding(spark):
+    rng = random.Random(1)
+    values = [0.03125, 0.00005, 0.12345, 0.99995, 0.0, 1.0, -0.12345] + [round(rng.uniform(-1, 1), 5) for _ in range(500)] + [k / 128 for k in range(-130, 130)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", X.python_round4(F.col("x")).alias("y")).collect()
+    assert all(r.y == round(r.x, 4) for r in got)
+
+
+def test_walks_of_edges_with_null_ends(spark):
+    edges = spark.createDataFrame([(1, 2), (None, 3), (2, None), (2, 4), (None, None), (5, 6)], "from_id long, to_id long")
+    roots = spark.createDataFrame([(1,), (None,), (9,)], "node long")
+    for direction, want in (("both", {1: 0, 2: 1, 4: 2, 9: 0}), ("incoming", {1: 0, 9: 0}), ("outgoing", {1: 0, 2: 1, 4: 2, 9: 0})):
+        for small in (100, 0):
+            assert {r.node: r.distance for r in graph.bfs(edges, roots, direction, None, small).collect()} == want
+
+
+def test_pairs_of_a_mass_change(spark):
+    rows = [(s, f"f{i:03}") for s, n in ((1, 40), (2, 3), (3, 1)) for i in range(n)]
+    sessions = spark.createDataFrame(rows, "session_id long, file_id string")
+    want = sorted((r.file_a, r.file_b, r["count"]) for r in coedit.pairs(sessions).collect())
+    assert len(want) == 780 and sorted((r.file_a, r.file_b, r["count"]) for r in coedit.pairs(sessions, block=7).collect()) == want
