@@ -63,7 +63,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, emit_ids: bool =
     the bytes that the ids decode to), round_trip (they are the text's); with emit_ids also ids and decoded.
 
     Null text counts as empty: no ids, digests of nothing. A null doc_id stays null; repeated rows give repeated rows; an
-    empty table gives none. No special tokens: their strings are ordinary text."""
+    empty table gives none; other columns, whatever their names, play no part. A text of any length is cut at safe
+    boundaries, and its digests are of the whole. No special tokens: their strings are ordinary text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)

@@ -19,7 +19,10 @@ class DigestIndex:
     A memtable is the slice of the input that hashes to one run number; flush() writes each as a run sorted by digest,
     with a Bloom filter of the digests in every Parquet row group. compact() merges fan_in runs into one, level by level,
     and keeps the smallest identifier under the chosen order (the largest doc_id is the smallest of the descending order).
-    Slices of one digest are summed run by run, so that a digest with a third of all rows never meets in one task."""
+    Slices of one digest are summed run by run, so that a digest with a third of all rows never meets in one task.
+
+    The filters serve lookup(), of a digest in an index that stays: Parquet asks them before it reads a row group. The join
+    that marks all documents reads every row anyway, and needs none."""
 
     def __init__(self, scratch: Scratch, keep: str = "largest", fan_in: int = 16):
         self.scratch, self.fan_in, self.levels = scratch, fan_in, []
@@ -49,6 +52,10 @@ class DigestIndex:
                 self.scratch.drop(f"level{len(self.levels) - 2}")
         return self.levels[-1]
 
+    def lookup(self, digest: bytes) -> DataFrame:
+        """The rows of the last level with this digest: one, or none."""
+        return self.levels[-1].filter(F.col("digest") == F.lit(bytearray(digest)))
+
 
 def exact_duplicates(docs: DataFrame, keep: str = "largest", memtables: int | None = None, digest_bytes: int = 32) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256 (hex, of the normalised text).
@@ -65,7 +72,7 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", memtables: int | No
     sha = text_digest(F.col("text"))
     digest = F.substring(F.col("sha"), 1, digest_bytes)
     named = texts(docs)
-    keys = scratch.keep(named.select("doc_id", sha.alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("run")), "keys").withColumn("digest", digest)
+    keys = scratch.keep(named.select("doc_id", sha.alias("sha"), F.pmod(F.xxhash64("doc_id", sha), F.lit(memtables)).cast("int").alias("run")), "keys").withColumn("digest", digest)
 
     index = DigestIndex(scratch, keep)
     first = index.flush(keys.select("doc_id", "digest", "run"), memtables)
@@ -88,7 +95,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", memtables: int | No
 
 def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and its text, one. Rows whose id is
-    surely neither dropped nor repeated pass without a shuffle."""
+    surely neither dropped nor repeated pass without a shuffle. Null texts count as empty, null ids are as in exact_duplicates;
+    an empty table stays empty; columns of any names but those that begin with _row_ pass."""
     verdicts = Scratch(docs.sparkSession, "verdicts").keep(exact_duplicates(docs, keep), "verdicts")
     rows = verdicts.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept")).agg(F.count("*").alias("_n"))
     touched = rows.filter("NOT _kept OR _n > 1 OR _null")

@@ -58,7 +58,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     Null text counts as empty, and a document without text is its end id alone; a null doc_id stays null. Repeated rows
     are documents of their own. An empty table gives no rows. Documents are packed in blocks of about block_tokens tokens
     where they are read, without a shuffle: a task holds one block (or one longer document) at a time. Sequence ids are
-    distinct over all tasks and the same when a task is run again. With emit_ids, a column ids holds each piece's ids as
+    distinct over all tasks and the same when a task is run again. Other columns, whatever their names, play no part. With emit_ids, a column ids holds each piece's ids as
     little-endian unsigned 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

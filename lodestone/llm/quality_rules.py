@@ -105,16 +105,25 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def apply_policy(entries: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """base_failed, kept and the policy's version, from the stored bits alone."""
+    """base_failed, kept and the policy's version, from the stored bits alone. Rows with null bits get null verdicts; repeated
+    rows stay; an empty ledger gives no rows; columns of these three names are replaced."""
     fails = lambda p: F.col("fail_bits").bitwiseAND(F.lit(p.mask).cast("long")) != 0
     return entries.withColumns({"base_failed": fails(BASE), "kept": ~fails(BASE) & ~fails(policy), "policy": F.lit(f"{policy.name}/{policy.version}")})
 
 
 def ablations(entries: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """For each rule of the policy: documents that fail it, that fail it alone (kept if it went), and that the policy
-    keeps. Entries are first counted by their bits, so that few rows remain whatever the input."""
+    keeps. Entries are first counted by their bits, so that few rows remain whatever the input. Null bits fail nothing and
+    count nowhere; repeated rows count each; an empty ledger gives no rows; other columns play no part."""
     counted = entries.groupBy(F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
     rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(1 << list(RULES).index(r)).cast("long").alias("bit")) for r in policy.rules))).alias("r")
     hit = F.col("bits").bitwiseAND(F.col("r.bit")) != 0
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0)))
     return counted.select("bits", "n", rules).groupBy(F.col("r.rule").alias("rule")).agg(total(hit).alias("n_failed"), total(F.col("bits") == F.col("r.bit")).alias("n_failed_alone"), total(F.col("bits") == 0).alias("n_kept"))
+
+
+def write_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """Writes the ledger as a table in a folder that all executors share, and reads it: policies and ablations of any version
+    then need no text. Rows are as in ledger(); what the folder held is replaced."""
+    ledger(docs).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)

@@ -22,11 +22,12 @@ COUNTS = "doc_id long, n_tokens_before long, n_tokens long, n_chars long, n_segm
 
 @dataclass(slots=True)
 class Node:
-    """A segment with its text, or two subtrees; chars, tokens and leaves are sums over the subtree."""
+    """A segment with its text, or two subtrees; chars, tokens and leaves are sums over the subtree, height is its levels."""
 
     chars: int
     tokens: int
     leaves: int
+    height: int = 1
     text: str | None = None
     left: Node | None = None
     right: Node | None = None
@@ -35,7 +36,7 @@ class Node:
 def _over(left: Node | None, right: Node | None) -> Node | None:
     if left is None or right is None:
         return left or right
-    return Node(left.chars + right.chars, left.tokens + right.tokens, left.leaves + right.leaves, None, left, right)
+    return Node(left.chars + right.chars, left.tokens + right.tokens, left.leaves + right.leaves, 1 + max(left.height, right.height), None, left, right)
 
 
 def _balanced(leaves: list[Node]) -> Node | None:
@@ -65,7 +66,7 @@ class EditableCount:
 
     def _encoded(self, text: str) -> list[Node]:
         self.reencoded += len(text)
-        return [Node(len(s), len(self.bpe.encode(s)), 1, s) for s in byte_bpe.segments(text, self.segment) if s]
+        return [Node(len(s), len(self.bpe.encode(s)), 1, 1, s) for s in byte_bpe.segments(text, self.segment) if s]
 
     @property
     def tokens(self) -> int:
@@ -87,7 +88,7 @@ class EditableCount:
         old = "".join(n.text for n in _leaves(touched))
         new = old[: start - origin] + (inserted or "") + old[stop - origin :]
         root = _over(_over(before, _balanced(self._encoded(new))), after)
-        if root is not None and self._depth(root) > 3 * root.leaves.bit_length() + 8:
+        if root is not None and root.height > 3 * root.leaves.bit_length() + 8:  # seldom: edits are many by then
             root = _balanced(list(_leaves(root)))
         self.root = root
 
@@ -103,23 +104,14 @@ class EditableCount:
         d, e, f = self._split(node.right, start, stop, at + node.left.chars)
         return _over(a, d), _over(b, e), _over(c, f)
 
-    @staticmethod
-    def _depth(node: Node) -> int:
-        deepest, stack = 0, [(node, 1)]
-        while stack:
-            n, d = stack.pop()
-            deepest = max(deepest, d)
-            if n.text is None:
-                stack += [(n.left, d + 1), (n.right, d + 1)]
-        return deepest
-
 
 def counts_after_edits(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """rows: doc_id, text and edits, an array of (position, n_deleted, inserted) in code points, applied in order.
 
     One row for each document: its tokens before and after, characters and segments after, and how many characters had to
     be encoded again. Null text counts as empty, null edits as none, nulls in an edit as 0 or nothing; positions past the
-    end append. A null doc_id stays null, repeated rows stay repeated, an empty table gives no rows."""
+    end append. A null doc_id stays null, repeated rows stay repeated, an empty table gives no rows, other columns of any
+    names play no part. A text of any length is one tree in the memory of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe.load(path, pattern)
@@ -139,7 +131,10 @@ def counts_after_edits(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Brings a table of edits (doc_id, seq, position, n_deleted, inserted) to its documents, in the order of seq."""
+    """Brings a table of edits (doc_id, seq, position, n_deleted, inserted) to its documents, in the order of seq, edits of
+    one seq by position. Documents without edits get null; rows that repeat a document get the same edits each; edits of a
+    null or unknown doc_id go; nulls in an edit stay; an empty table of either gives no rows or no edits; other columns
+    play no part."""
     each = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "position", "n_deleted", "inserted"))).alias("found"))
     joined = texts(docs).join(each, "doc_id", "left")
     return joined.select("doc_id", "text", F.transform("found", lambda e: F.struct(e["position"].cast("long").alias("position"), e["n_deleted"].cast("long").alias("n_deleted"), e["inserted"].cast("string").alias("inserted"))).alias("edits"))
@@ -147,7 +142,8 @@ def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 def with_revision(docs: DataFrame) -> DataFrame:
     """A fixed revision of every document, by its length: a word goes in at a quarter, twelve characters go at the middle,
-    eight are replaced at three quarters, and a sentence is added."""
+    eight are replaced at three quarters, and a sentence is added. A null text counts as empty and gets the insertions;
+    repeated rows, null ids and an empty table stay as they are; other columns play no part."""
     n = F.char_length("text").cast("long")
     at = lambda quarter: F.floor(n * quarter / 4).cast("long")
     edit = lambda position, deleted, inserted: F.struct(position.alias("position"), F.lit(deleted).cast("long").alias("n_deleted"), F.lit(inserted).alias("inserted"))

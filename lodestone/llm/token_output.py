@@ -112,5 +112,6 @@ def packed_matrix(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
 
 
 def write_packed(docs: DataFrame, out: str, path: str, **options) -> None:
-    """Writes the matrix as Parquet files to a folder that all executors share."""
+    """Writes the matrix as Parquet files to a folder that all executors share; what it held is replaced. Nulls, repeated rows
+    and empty tables are as in packed_matrix (an empty table gives a folder without rows); other columns play no part."""
     packed_matrix(docs, path, **options).write.mode("overwrite").parquet(out)
