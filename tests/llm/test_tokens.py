@@ -152,3 +152,13 @@ def test_empty_tables(spark):
     none = documents(spark, [], True)
     assert packing.pack_documents(none, WORD).count() == token_output.packed_matrix(none, WORD).count() == byte_bpe.encode_documents(none, BYTE, P.PATTERN).count() == 0
     assert token_counts.counts_after_edits(token_counts.with_revision(none), BYTE, P.PATTERN).count() == 0
+
+
+def test_write_packed(spark, tmp_path):
+    docs = documents(spark, edge_texts(), True)
+    for _ in range(2):  # what the folder held is replaced
+        token_output.write_packed(docs, f"{tmp_path}/out", WORD, capacity=512)
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("sequence_id").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in token_output.packed_matrix(docs, WORD, 512).orderBy("sequence_id").collect()]
+    token_output.write_packed(documents(spark, []), f"{tmp_path}/none", WORD)
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0
