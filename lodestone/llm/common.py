@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import Scratch  # noqa: F401  used by the operators
+from lodestone.sources import scratch as _shared
 
 #: Slots of the filters that are broadcast: at most this many rows, whatever the input.
 FILTER_SLOTS = 1 << 18
@@ -31,11 +31,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside; the session's setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Scratch(_shared.Scratch):
+    """Tables of the operators, written in small Arrow batches."""
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        with small_batches(self.spark):
+            return super().keep(df, name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches, whose bytes Spark bounds, a few rows at a time, as Python's objects take more room than the batch."""
+    """Arrow batches, whose bytes Spark bounds, a few rows at a time, as Python's objects take more room than the batch; what
+    a task leaves free goes back to the system, as workers live on."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        del batch
+    release()
 
 
 def slot(key: Column) -> Column:
