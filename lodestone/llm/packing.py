@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lodestone.llm import word_bpe
-from lodestone.llm.common import slices, texts
+from lodestone.llm.common import Scratch, slices, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
 
@@ -94,4 +94,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
         if keys:
             yield packed()
 
-    return texts(docs).mapInArrow(run, PIECES + ", ids binary" * emit_ids)
+    return Scratch(docs.sparkSession, "packed").keep(texts(docs).mapInArrow(run, PIECES + ", ids binary" * emit_ids), "pieces")
