@@ -72,15 +72,16 @@ def _walked(steps: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
 def bfs(edges: DataFrame, roots: DataFrame, direction: str = "both", depth: int | None = 2, small: int = SMALL) -> DataFrame:
     """(node, distance) of what the roots (one column) reach in depth hops, or at all if that is None.
 
-    A graph of at most small edges, which is counted up to there first, is walked by one task. In a larger one each hop
+    The distinct steps are written to the shared folder first, so that the one task that walks a graph of at most small steps
+    reads them and nothing else: joins and sorts that edges come from would run in it too. In a larger graph each hop
     joins the last level with the edges and drops what was seen; levels are written to the shared folder, so the plan
     doesn't grow, and only whether a level is empty comes to the driver. Both give the same rows. Null roots and edges with a
     null end take no part; a root that no edge knows is reached at 0."""
-    steps, roots = _steps(edges, direction), roots.toDF("node").filter("node IS NOT NULL")
-    if edges.select("from_id").limit(small + 1).count() <= small:
-        return _walked(steps, roots.withColumn("node", F.col("node").cast(steps.schema["at"].dataType)), depth)
     scratch = Scratch(edges.sparkSession, "bfs")
-    steps = scratch.keep(steps, "steps")
+    steps, roots = scratch.keep(_steps(edges, direction), "steps"), roots.toDF("node").filter("node IS NOT NULL")
+    if steps.count() <= small:
+        roots = scratch.keep(roots.withColumn("node", F.col("node").cast(steps.schema["at"].dataType)).distinct(), "roots")
+        return _walked(steps, roots, depth)
     level = roots.distinct().withColumn("distance", F.lit(0))
     seen, hop = level, 0
     while depth is None or hop < depth:

@@ -103,6 +103,15 @@ def test_traversals(spark, monkeypatch, small):
         graph.bfs(chain, nodes(spark, "a"), "up")
 
 
+def test_the_walking_task_reads_steps_only(spark):
+    """What edges are joined from doesn't run in the one task that walks them."""
+    known = nodes(spark, "a", "b", "c")
+    joined = edges(spark, [("a", "b"), ("b", "c"), ("c", "x")]).join(known.withColumnRenamed("node", "to_id").hint("merge"), "to_id", "left_semi").distinct()
+    found = graph.bfs(joined, nodes(spark, "a"), "outgoing", None)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
 def test_both_ways_to_walk_agree(spark):
     import random
 
